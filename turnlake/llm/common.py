@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +56,11 @@ def skew_lookup(main: DataFrame, key: str, looked_up: DataFrame, weights: DataFr
     hot = looked_up.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "inner").drop(key)
     cold = looked_up.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "left_anti")
     hot = hot.select("_hot", F.struct(*values).alias("_h"))
-    cold = cold.select(F.col(key).alias("_cold"), F.lit(0).alias("_csalt"), F.struct(*values).alias("_c"))
+    cold = cold.select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_csalt"), F.struct(*values).alias("_c"))
     m = main.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     m = m.withColumn("_mkey", F.when(F.col("_hot").isNull(), F.col(key)).cast(kind))
-    m = m.withColumn("_msalt", F.when(F.col("_mkey").isNull(), F.xxhash64(*[F.col(c) for c in main.columns])).otherwise(F.lit(0)).cast("long"))
-    out = m.join(cold, (F.col("_mkey") == F.col("_cold")) & (F.col("_msalt") == F.col("_csalt").cast("long")), "left")
+    m = m.withColumn("_msalt", F.when(F.col("_mkey").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long")))
+    out = m.join(cold, (F.col("_mkey") == F.col("_cold")) & (F.col("_msalt") == F.col("_csalt")), "left")
     return out.select(*[out[c] for c in main.columns], *[F.coalesce(F.col(f"_h.{c}"), F.col(f"_c.{c}")).alias(c) for c in values])
 
 
@@ -76,6 +78,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     return [(r.text, r._y) for r in sorted(got.select("doc_id", "text", "_y").collect(), key=lambda r: (r.doc_id, r.text))]
 
 
+def append(rows: DataFrame, text: str, added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """All rows and columns, and the columns `added` (a schema): make() is called once a task and gives a function from a
+    batch's texts to a list of each added column's values."""
+    fields = T._parse_datatype_string(added).fields
+    at = rows.columns.index(text)
+    schema = T.StructType(rows.schema.fields + fields)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            new = fn(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(new, kinds))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 class Memo(dict):
     """value = make(key). At most `limit` keys are held (bounded memory in a worker); once full, new keys are made anew each
     time, until four times as many have been: then all are dropped, so a changed vocabulary is learned."""

@@ -6,21 +6,17 @@ are read in bounded memory. The model is a few kilobytes of arrays, broadcast to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import crc_mod, hash_fraction, table
+from turnlake.llm.common import append, crc_mod, hash_fraction, table
 
 WINDOW = 64
 HIDDEN = 10
 #: Bounds of the training sample: documents a language, windows a document.
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS = 400, 6, 5
 ROWS = 4096
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -198,25 +194,26 @@ def train(docs: DataFrame, docs_a_lang: int = SAMPLE_DOCS, windows_a_doc: int =
     return model
 
 
-def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row. Null texts and texts without a letter: 'und', score 0; so for all if there is no model."""
+def predict(docs: DataFrame, model: ByteGru | None, text: str = "text") -> DataFrame:
+    """All columns of `docs`, lang_pred and lang_score. Null texts and texts without a letter: 'und', 0; so for all if there is no model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m = shared.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+
+        def score(texts: list) -> list:
             known = [has_letter(t) and m is not None for t in texts]
             p = m.documents([t.encode() if k else b"" for t, k in zip(texts, known)]) if any(known) else None
             best = p.argmax(1) if p is not None else []
-            pred = [m.langs[best[i]] if k else "und" for i, k in enumerate(known)]
-            prob = [min(1.0, float(p[i, best[i]])) if k else 0.0 for i, k in enumerate(known)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(prob, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            return [[m.langs[best[i]] if k else "und" for i, k in enumerate(known)], [min(1.0, float(p[i, best[i]])) if k else 0.0 for i, k in enumerate(known)]]
+
+        return score
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return append(docs, text, "lang_pred string, lang_score double", make)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; null doc_ids are not held out and not learned from. Empty table: no rows."""
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, train(docs)).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    got = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs))
+    return got.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -9,14 +9,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Memo, crc_mod, labelled_sample, table
+from turnlake.llm.common import Memo, append, crc_mod, labelled_sample, table
 
 BITS = 18
 SCALE = 30.0
@@ -90,24 +87,24 @@ def fit(rows: list[tuple[str, int]], passes: int = PASSES) -> tuple[np.ndarray,
     return model.weights(), model.bias()
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """doc_id, score of every row; null texts score as empty ones: by the bias alone."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
+    """All columns of `docs` and quality_score; null texts score as empty ones: by the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, float(bias)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         w, b = shared.value
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                at = features(text or "")
-                out.append(1 / (1 + np.exp(-np.clip(b + (w[at].mean(dtype=np.float64) * SCALE if len(at) else 0.0), -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+        def one(text: str | None) -> float:
+            at = features(text or "")
+            return float(1 / (1 + np.exp(-np.clip(b + (w[at].mean(dtype=np.float64) * SCALE if len(at) else 0.0), -35, 35))))
+
+        return lambda texts: [[one(t) for t in texts]]
+
+    return append(docs, text, "quality_score double", make)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from at most about SAMPLE_ROWS labelled rows that aren't held out; null doc_ids are neither. Empty table: no rows."""
     docs = table(spark, sf_dir, "documents")
-    got = score(docs, *fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE_ROWS, 9)))
-    return got.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    got = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE_ROWS, 9)))
+    return got.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))

@@ -15,14 +15,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Memo, crc_mod, labelled_sample, table
+from turnlake.llm.common import Memo, append, crc_mod, labelled_sample, table
 
 BITS = 20
 #: Bound of the labelled sample; voters at most; a proposed voter's least documents and least log-odds.
@@ -182,16 +180,10 @@ def fit(rows: list[tuple[str, int]], passes: int = 30) -> tuple[Classifier, Labe
     return Classifier(weights, b), model
 
 
-def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, score of every row; null texts score as empty ones."""
+def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """All columns of `docs` and toxic_score; null texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return append(docs, text, "toxic_score double", lambda: lambda texts: [[shared.value.score(t or "") for t in texts]])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -201,5 +193,5 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from at most about SAMPLE_ROWS labelled rows that aren't held out; null doc_ids are neither. Empty table: no rows."""
     docs = table(spark, sf_dir, "documents")
-    got = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return got.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    got = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
