@@ -16,6 +16,7 @@ WINDOW = 64
 HIDDEN = 10
 #: Bounds of the training sample: documents a language, windows a document.
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS = 400, 6, 5
+LEAST_STEPS = 240
 ROWS = 4096
 
 
@@ -113,13 +114,14 @@ class ByteGru:
         return loss, g
 
     def fit(self, windows: list[bytes], langs: list[int], epochs: int = EPOCHS, rate: float = 0.02, batch: int = 192) -> list[float]:
-        """Adam over shuffled batches; returns each epoch's mean loss."""
+        """Adam over shuffled batches; returns each epoch's mean loss. Small samples get more epochs: LEAST_STEPS batches at least."""
         x, mask = _grid(windows)
         want, r = np.array(langs), np.random.default_rng(11)
         m, v, k, losses = {n: 0.0 for n in self.p}, {n: 0.0 for n in self.p}, 0, []
+        epochs = max(epochs, -(-LEAST_STEPS // -(-x.shape[1] // batch)))
         for epoch in range(epochs):
             order, got = r.permutation(x.shape[1]), []
-            step = rate * (0.5 ** max(0, epoch - 2))
+            step = rate * 0.5 ** max(0.0, 5 * epoch / epochs - 2)
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
                 loss, g = self.gradients(x[:, own], want[own], mask[:, own])

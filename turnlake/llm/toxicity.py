@@ -13,6 +13,7 @@ the soft labels of a linear classifier on hashed word and beginning features (lo
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -34,7 +35,7 @@ _MARKED = re.compile(r"\w*[0-9@$!]\w+")
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    return set(map(sys.intern, _WORD.findall(text.lower())))  # one copy of a word for all documents
 
 
 def beginnings(word: str) -> list[str]:
@@ -152,15 +153,12 @@ def fit(rows: list[tuple[str, int]], passes: int = 30) -> tuple[Classifier, Labe
     model = LabelModel()
     soft = model.fit(votes)
     # Features that few documents hold can't be told from chance; document counts need no labels.
-    counts: Counter = Counter()
-    places = []
-    for ws, _ in sample:
-        own = set(map(_place, word_features(ws)))
-        counts.update(own)
-        places.append(own)
-    kept = sorted(p for p, c in counts.items() if c >= LEAST_DOCS)
-    column = {p: k for k, p in enumerate(kept)}
-    rows_at = [np.array(sorted(column[p] for p in own if p in column), np.int64) for own in places]
+    places = [np.unique(np.fromiter(map(_place, word_features(ws)), np.int32)) for ws, _ in sample]
+    counts = np.bincount(np.concatenate(places), minlength=1 << BITS)
+    kept = np.flatnonzero(counts >= LEAST_DOCS)
+    column = np.full(1 << BITS, -1)
+    column[kept] = np.arange(len(kept))
+    rows_at = [column[own][column[own] >= 0] for own in places]
     flat = np.concatenate(rows_at) if rows_at else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows_at)), [len(r) for r in rows_at])
     # Proximal gradient steps (L1), each feature's rate by its own document count.
@@ -176,7 +174,7 @@ def fit(rows: list[tuple[str, int]], passes: int = 30) -> tuple[Classifier, Labe
         w -= 2.0 * g / size
         w = np.sign(w) * np.maximum(0, np.abs(w) - 0.6 / size)
         b -= 2.0 * float((p - soft).mean())
-    weights = {p: float(w[k]) for p, k in column.items() if w[k]}
+    weights = {int(kept[k]): float(w[k]) for k in np.flatnonzero(w)}
     return Classifier(weights, b), model
 
 
