@@ -75,8 +75,8 @@ def body_kind(body: Column) -> Column:
 
 
 def fold_reasoning(content: Column, reasoning: Column, has_calls: Column) -> Column:
-    """Reasoning goes before the content unless tool calls exist; a delta with neither is null."""
-    both = F.concat(F.coalesce(reasoning, F.lit("")), F.coalesce(content, F.lit("")))
+    """Reasoning goes behind the content unless tool calls exist; a delta with neither is null."""
+    both = F.concat(F.coalesce(content, F.lit("")), F.coalesce(reasoning, F.lit("")))
     out = F.when(has_calls, F.coalesce(content, F.lit(""))).otherwise(both)
     return F.when((out != "") | has_calls, out)
 

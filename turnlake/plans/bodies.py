@@ -75,9 +75,9 @@ def pf21(spark, sf_dir):
     return s.where(F.get_json_object("p", "$.choices[0].delta.content") != "").groupBy("conv_id").agg((F.min("i") + 1).cast("long").alias("first_chunk"))
 
 
-@query("fn34_reasoning_folding", "select event_id, case event_id % 3 when 0 then 'thought said' when 1 then 'said' end content, event_id % 3 <> 2 kept from events")
+@query("fn34_reasoning_folding", "select event_id, case event_id % 3 when 0 then 'said thought' when 1 then 'said' end content, event_id % 3 <> 2 kept from events")
 def fn34(spark, sf_dir):
-    r = F.expr("case when event_id % 3 = 0 then 'thought ' end")
+    r = F.expr("case when event_id % 3 = 0 then ' thought' end")
     c = F.expr("case when event_id % 3 < 2 then 'said' end")
     folded = B.fold_reasoning(c, r, F.lit(False))
     return read(spark, sf_dir, "events").select("event_id", folded.alias("content"), folded.isNotNull().alias("kept"))
