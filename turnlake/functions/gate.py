@@ -62,7 +62,7 @@ class Gate:
     (last first, if the fragments came so). While calls are held, lines that are neither are dropped, and so is a finish after them."""
 
     def __init__(self, judge: Callable[[str], str | None], notice: str | None = None):
-        self.judge, self.notice, self.model, self.blocked = judge, notice, None, 0
+        self.judge, self.notice, self.model, self.blocked, self.releases = judge, notice, None, 0, 0
         self._reset()
 
     def _reset(self) -> None:
@@ -73,6 +73,7 @@ class Gate:
     def _release(self, done: bool) -> list[str]:
         calls, held, early = [self.calls[k] for k in sorted(self.calls)], self.held, self.early
         begun = list(self.calls.values())
+        self.releases += 1
         self._reset()
         end = [DONE] if done else []
         for call in calls:
