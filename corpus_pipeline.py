@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import language_id, line_dedup, packing, simhash, toxicity
+from turnlake.llm import jaccard, language_id, line_dedup, packing, toxicity
 from turnlake.llm.common import shared_dir, table
 
 #: Documents whose best language has less than this share of the positions are rejected, as are those without a letter.
@@ -37,8 +37,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
