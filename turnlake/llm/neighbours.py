@@ -1,10 +1,14 @@
 """Approximate nearest neighbours: p-stable hashing with query-directed multiprobe.
 
-Largest inner product is turned to least distance by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm. Each
+Rows are parted by norm, a factor of 2^(1/4) a part. In a part, largest inner product is turned to least distance by one more
+coordinate, sqrt(M^2 - |x|^2), with M the part's largest norm, and queries are scaled to norm M (their ranking stays). Each
 of TABLES tables hashes a vector to floor((a.x + b) / w) for a few Gaussian directions a. A query's own bucket comes first;
 then perturbed ones, in the order of the summed squared distances to the borders that are crossed (the estimated order of
 success). Candidates of all tables are merged and ranked by exact inner products.
 
+Parts of at most SAMPLE rows, and parts whose sample misses the wished recall with all probes, are searched exactly; so are
+all rows for queries that found fewer than k.
+
 The index isn't moved: each task hashes its own vectors, and the queries come in broadcast blocks of at most BLOCK.
 Equal vectors are one entry (with their least ids: no more than the top k and the query's own can count)."""
 
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import hash_fraction, table
+from turnlake.llm.common import hash_fraction, materialise, table
 
 K, EVERY = 20, 20
 TABLES, RECALL = 10, 0.97
 #: Bounds: queries in a broadcast block, vectors in the sample that sets the probes, vectors indexed by one task.
 BLOCK, SAMPLE, SHARD = 16_384, 4_000, 65_536
+#: Queries that try a part's probes, and norm parts (the last one holds all smaller norms).
+ASKED, PARTS = 300, 32
 
 
 def projections(width: int, tables: int, directions: int, cell: float, seed: int = 17) -> tuple[np.ndarray, np.ndarray, float]:
@@ -123,6 +129,27 @@ def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.
         yield query_ids[i], got_ids[best], got[best]
 
 
+def search_exact(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
+    """As search_shard, with every row a candidate."""
+    rows, inverse = np.unique(x, axis=0, return_inverse=True)
+    inverse = inverse.reshape(-1)
+    order = np.lexsort((ids, inverse))
+    starts = np.searchsorted(inverse[order], np.arange(len(rows) + 1))
+    for at in range(0, len(queries), 256):
+        rough = queries[at : at + 256] @ rows.T
+        for i in range(len(rough)):
+            found = np.argpartition(-rough[i], 2 * k + 1)[: 2 * k + 2] if len(rows) > 2 * k + 2 else np.arange(len(rows))
+            got_ids, got = [], []
+            for j, s in zip(found, _exact(rows[found], queries[at + i])):
+                same = ids[order[starts[j] : starts[j + 1]]]
+                same = same[same != query_ids[at + i]][:k]
+                got_ids.append(same)
+                got.append(np.full(len(same), s))
+            got_ids, got = np.concatenate(got_ids), np.concatenate(got)
+            best = np.lexsort((got_ids, -got))[:k]
+            yield query_ids[at + i], got_ids[best], got[best]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v array<double>, norm: rows with an id whose vector is there, not empty, not zero, with finite components only."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -131,24 +158,34 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).where("norm > 0")
 
 
-def tune(sample: np.ndarray, total: int, top_norm: float, k: int = K, recall: float = RECALL) -> tuple[tuple, list[tuple[int, ...]]]:
-    """Directions by the logarithm of `total`, cell width by the sample's spread, and as many probes as reach `recall`
-    on the sample (its own rows are queries; nearest neighbours by brute force, in a distance scaled to `total`)."""
+def scaled(queries: np.ndarray, top_norm: float) -> np.ndarray:
+    """The queries at norm top_norm, with the added coordinate of zero: their distances depend on inner products alone."""
+    norms = np.sqrt((queries * queries).sum(1))[:, None]
+    return np.concatenate([queries * (top_norm / norms), np.zeros((len(queries), 1))], axis=1)
+
+
+def tune(sample: np.ndarray, total: int, top_norm: float, k: int = K, recall: float = RECALL, asked: np.ndarray | None = None) -> tuple[tuple, list[tuple[int, ...]], float]:
+    """Directions by the logarithm of `total`, cell width by the sample's spread, as many probes as reach `recall` on the
+    sample, and the recall there (`asked` are queries, or else the sample's own rows; nearest neighbours by brute force)."""
     wide = np.concatenate([sample, np.sqrt(np.maximum(0, top_norm**2 - (sample * sample).sum(1)))[:, None]], axis=1)
     directions = int(np.clip(round(np.log2(max(2, total)) / 2) - 3, 2, 12))
     spread = float(np.std(wide - wide.mean(0)) * np.sqrt(1))
-    cell = max(1e-9, 1.6 * spread * np.sqrt(wide.shape[1]) / 1.0)
+    cell = max(1e-9 * top_norm, 1.6 * spread * np.sqrt(wide.shape[1]) / 1.0)
     hashed = projections(wide.shape[1], TABLES, directions, cell)
     sets = perturbations(directions, min(3**directions, 160))
     n = len(sample)
-    own = np.arange(n) if n <= 300 else np.random.default_rng(1).choice(n, 300, replace=False)
-    scores = sample[own] @ sample.T
-    scores[np.arange(len(own)), own] = -np.inf
-    # A sample row's k-th neighbour among `total` is nearer than among the sample: the share of its k stays the same.
-    take = max(1, min(k, n - 1))
-    best = np.argpartition(-scores, take - 1, axis=1)[:, :take] if n > 1 else np.zeros((len(own), 0), int)
-    q = np.concatenate([sample[own], np.zeros((len(own), 1))], axis=1)
-    tried = probes(q, hashed, sets)
+    if asked is None:
+        own = np.arange(n) if n <= 300 else np.random.default_rng(1).choice(n, 300, replace=False)
+        asked = sample[own]
+        scores = asked @ sample.T
+        scores[np.arange(len(own)), own] = -np.inf
+        n -= 1
+    else:
+        scores = asked @ sample.T
+    # A row's k-th neighbour among `total` is nearer than among the sample: the share of its k stays the same.
+    take = max(1, min(k, n))
+    best = np.argpartition(-scores, take - 1, axis=1)[:, :take] if n > 0 else np.zeros((len(asked), 0), int)
+    tried = probes(scaled(asked, top_norm), hashed, sets)
     of = np.stack([keys(np.floor((wide @ hashed[0][t] + hashed[1][t]) / cell)) for t in range(TABLES)])
     first = np.full(best.shape, len(sets))
     for t in range(TABLES):
@@ -157,9 +194,49 @@ def tune(sample: np.ndarray, total: int, top_norm: float, k: int = K, recall: fl
             first = np.where(hit & (first > p), p, first)
     flat = np.sort(first.reshape(-1))
     if not len(flat):
-        return hashed, sets
+        return hashed, sets, 0.0
     need = int(flat[min(len(flat) - 1, int(np.ceil(recall * len(flat))) - 1)])
-    return hashed, sets[: need + 1]
+    sets = sets[: need + 1]
+    return hashed, sets, float((flat < len(sets)).mean())
+
+
+def _searched(index: DataFrame, d: int, query_ids: np.ndarray, queries: np.ndarray, k: int, top: float = 0.0, hashed: tuple | None = None, sets: list | None = None) -> DataFrame:
+    """Each task's best k rows of `index` for each query: by probes, or exactly without `hashed`."""
+    probe_keys = None if hashed is None else probes(scaled(queries, top), hashed, sets)
+    shared = index.sparkSession.sparkContext.broadcast((query_ids, queries, probe_keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries, probe_keys = shared.value
+        ids, vs, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x, own = np.concatenate(vs), np.concatenate(ids)
+            found = search_exact(own, x, query_ids, queries, k) if hashed is None else search_shard(own, x, top, query_ids, queries, probe_keys, hashed, k)
+            part = []
+            for one in found:
+                part.append(one)
+                if len(part) == 2000:
+                    yield batch_of(part)
+                    part = []
+            if part:
+                yield batch_of(part)
+
+        def batch_of(part: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(v), i) for i, v, _ in part]), "vec_id": np.concatenate([v for _, v, _ in part]), "score": np.concatenate([s for _, _, s in part])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids.append(np.array(batch.column(0), np.int64))
+            vs.append(np.array(batch.column(1).flatten(), np.float64).reshape(-1, d))
+            held += batch.num_rows
+            if held >= SHARD:
+                yield from flush()
+                ids, vs, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -179,48 +256,52 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     if not by_size or not by_size[0].q:
         return ranked(spark.createDataFrame([], schema))
     d, n, top, q = by_size[0]
-    good = good.where(F.size("v") == d).select("vec_id", "v")
-    sample = good.where(hash_fraction(F.col("vec_id"), 21) < min(1.0, SAMPLE / n)).select("v").toPandas()
-    hashed, sets = tune(np.array(sample.v.tolist(), np.float64).reshape(-1, d), n, top, k)
+    # The top of the first part lies half a step above the largest norm, so that equal norms with rounding are one part.
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor(F.lit(0.5) - F.log2(F.col("norm") / F.lit(top)) * 4))).cast("int")
+    good = good.where(F.size("v") == d).select("vec_id", "v", part.alias("part"), "norm")
+    asked = good.where(hash_fraction(F.col("vec_id"), 22) < min(1.0, ASKED / n)).select("v").toPandas()
+    asked = np.array(asked.v.tolist(), np.float64).reshape(-1, d)
+    tuned, plain = {}, []
+    for r in good.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy("part").collect():
+        if r.n > SAMPLE:
+            sample = good.where((F.col("part") == r.part) & (hash_fraction(F.col("vec_id"), 21) < min(1.0, SAMPLE / r.n))).select("v").toPandas()
+            sample = np.array(sample.v.tolist(), np.float64).reshape(-1, d)
+            hashed, sets, reached = tune(sample, r.n, r.top, k, asked=None if r.n == n else asked) if len(sample) > 1 else (None, None, 0.0)
+            if reached >= RECALL:
+                tuned[r.part] = (r.top, hashed, sets)
+                continue
+        plain.append(r.part)
     shards = max(spark.sparkContext.defaultParallelism, -(-n // SHARD))
-    index = good.coalesce(shards)
-    blocks = -(-q // BLOCK)
-    parts = []
-    for block in range(blocks):
-        own = good.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).dropDuplicates().toPandas().sort_values("vec_id", kind="stable")
-        if not len(own):
-            continue
-        x = np.array(own.v.tolist(), np.float64).reshape(-1, d)
-        # The added coordinate of a query is zero, so its own distances depend on inner products alone.
-        packed = (own.vec_id.to_numpy(), x, probes(np.concatenate([x, np.zeros((len(x), 1))], axis=1), hashed, sets))
-        shared = spark.sparkContext.broadcast(packed)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries, probe_keys = shared.value
-            ids, vs, held = [], [], 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                found = list(search_shard(np.concatenate(ids), np.concatenate(vs), top, query_ids, queries, probe_keys, hashed, k))
-                for at in range(0, len(found), 2000):
-                    part = found[at : at + 2000]
-                    yield pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(v), i) for i, v, _ in part]), "vec_id": np.concatenate([v for _, v, _ in part]), "score": np.concatenate([s for _, _, s in part])})
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids.append(np.array(batch.column(0), np.int64))
-                vs.append(np.array(batch.column(1).flatten(), np.float64).reshape(-1, d))
-                held += batch.num_rows
-                if held >= SHARD:
-                    yield from flush()
-                    ids, vs, held = [], [], 0
-            if held:
-                yield from flush()
 
-        parts.append(index.mapInArrow(run, schema))
+    def of_parts(own: list[int]) -> DataFrame:
+        return (good.where(F.col("part").isin(own)) if len(own) <= len(tuned) + len(plain) - 1 else good).select("vec_id", "v").coalesce(shards)
+
+    def blocks_of(queries: DataFrame, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        blocks = -(-count // BLOCK)
+        for block in range(blocks):
+            own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).dropDuplicates().toPandas().sort_values("vec_id", kind="stable")
+            if len(own):
+                yield own.vec_id.to_numpy(), np.array(own.v.tolist(), np.float64).reshape(-1, d)
+
+    queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    parts = []
+    for ids, x in blocks_of(queries, q):
+        parts += [_searched(of_parts([p]), d, ids, x, k, *found) for p, found in tuned.items()]
+        if plain:
+            parts.append(_searched(of_parts(plain), d, ids, x, k))
     if not parts:
         return ranked(spark.createDataFrame([], schema))
-    return ranked(reduce(DataFrame.union, parts))
+    found = ranked(reduce(DataFrame.union, parts))
+    if not tuned:
+        return found
+    found = materialise(found, "neighbours")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = materialise(queries.join(full, "vec_id", "left_anti"), "short-queries")
+    again = [_searched(good.select("vec_id", "v").coalesce(shards), d, ids, x, k) for ids, x in blocks_of(short, short.count())]
+    if not again:
+        return found
+    whole = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*found.columns)
+    return whole.union(ranked(reduce(DataFrame.union, again)))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
