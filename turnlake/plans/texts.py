@@ -99,6 +99,13 @@ def fn24(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, "|".join(T.PRESETS), "[secret]").alias("redacted"), t.rlike("|".join(T.PRESETS)).alias("hit"))
 
 
+@query("fn24_whole_text_secrets")
+def fn24_whole(spark, sf_dir):
+    """Secrets anywhere in a document: the whole text, where fn24_preset_secrets and its SQL take the first 200 characters."""
+    t = F.expr(f"text || {_SECRET}")
+    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, "|".join(T.PRESETS), "[secret]").alias("redacted"), t.rlike("|".join(T.PRESETS)).alias("hit"))
+
+
 @query("fn23_class_masking")
 def fn23(spark, sf_dir):
     """Deterministic masking of each class; lengths stay."""
