@@ -73,6 +73,38 @@ def prefilter(docs: DataFrame, doc_id: str, file: DataFrame) -> DataFrame:
     return d.select("doc_id", ((F.size(both) == 0) | (~long & (F.size(both) * 2 < F.least(F.size("own"), F.size("file"))))).alias("skipped"))
 
 
+_CJK = "一-鿿㐀-䶿぀-ヿ가-힯"
+
+
+def _profile(rows: DataFrame) -> DataFrame:
+    """key (the text's digest), tokens (CJK characters, words of Latin letters and digits), other (whether another script occurs)."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    tokens = F.array_distinct(F.regexp_extract_all(T.ascii_lower(t), F.lit(f"([{_CJK}]|[0-9a-zÀ-ɏ]+)"), 0))
+    return rows.withColumn("key", F.md5(t.cast("binary"))).withColumn("tokens", tokens).withColumn("other", t.rlike(f"[\\p{{IsAlphabetic}}&&[^A-Za-zÀ-ɏ{_CJK}]]"))
+
+
+def item_prefilter(docs: DataFrame, doc_id: str, items: DataFrame) -> DataFrame:
+    """doc_id, skipped: whether no item of the corpus needs a scan of the document.
+
+    An item may be skipped if both sides have tokens and no other script, and they share no token, or none of 4 characters
+    and less than half of either side. A token of 4 characters is looked up in the words of all items; documents without
+    one count their shared short tokens by item."""
+    d = _profile(docs.select(F.col(doc_id).alias("doc_id"), "text")).drop("text")
+    i = _profile(items.select("text")).select("key", "tokens", "other").dropDuplicates(["key"])
+    always = F.col("other") | (F.size("tokens") == 0)
+    every = i.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.bool_or(always), F.lit(False)).alias("open"))
+    # Decisions depend on texts alone, so copies are decided once.
+    words = d.where(~always).select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).distinct()
+    held = i.where(~always).select(F.col("key").alias("item"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    long = words.where(F.length("token") >= 4).join(held.where(F.length("token") >= 4).select("token").distinct(), "token").select("key").distinct()
+    short = words.where(F.length("token") < 4).join(long, "key", "left_anti").join(held.where(F.length("token") < 4), "token")
+    both = short.groupBy("key", "item", "n", "m").agg(F.count(F.lit(1)).alias("both"))
+    half = both.where(F.col("both") * 2 >= F.least("n", "m")).select("key")
+    scan = long.union(half).distinct().withColumn("_scan", F.lit(True))
+    got = d.select("doc_id", "key", always.alias("always")).join(scan, "key", "left").join(F.broadcast(every))
+    return got.select("doc_id", (~((F.col("items") > 0) & (F.col("open") | F.col("always") | F.col("_scan").isNotNull()))).alias("skipped"))
+
+
 def chunks(docs: DataFrame, doc_id: str, size: int = 8192, overlap: int = 64) -> DataFrame:
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / step)).cast("int")

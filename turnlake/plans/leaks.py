@@ -45,6 +45,13 @@ def fn22(spark, sf_dir):
     return leakscan.prefilter(read(spark, sf_dir, "documents"), "doc_id", file)
 
 
+@query("fn22_item_prefilter")
+def fn22_items(spark, sf_dir):
+    """Each document against every protected item, with the guards on other scripts, CJK tokens and empty sets, which
+    fn22_token_prefilter and its SQL (three items as one file) lack."""
+    return leakscan.item_prefilter(read(spark, sf_dir, "documents"), "doc_id", read(spark, sf_dir, "benchmark"))
+
+
 @query("fn19_chunks", "select doc_id, cast(c as bigint) chunk, length(substr(text, cast(c * 8128 + 1 as bigint), 8192)) n from (select doc_id, text, unnest(range(0, greatest(1, cast(ceil((length(text) - 64) / 8128.0) as bigint)))) c from documents)")
 def fn19(spark, sf_dir):
     """Chunks of 8192 characters (code points, where the reference counts bytes) that overlap by 64."""
