@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import materialise, skew_lookup, table
+from turnlake.llm.common import keep_rows, materialise, skew_lookup, table
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 2, 64
 SHARD = 512
@@ -211,12 +211,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Da
     return got.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All columns of `docs`; of each component the row with the least doc_id stays (of repeated rows, one)."""
-    groups = near_groups(docs, radius)
-    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """All columns of `docs`, one row of each component: that with the least doc_id, null ids last. Rows are told apart by
+    their columns, so several null or repeated ids keep a row in each component they are alone in."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    groups = near_groups(docs.select(key.alias("doc_id"), "text"), radius, words)
+    return keep_rows(docs, key, materialise(groups.select(F.col("doc_id").alias("fp"), F.col("component_id").alias("least")).distinct(), "kept-groups"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
