@@ -32,8 +32,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its site's boilerplate lines; n_chars follows the text."""
-    return line_dedup.drop_lines(docs).drop("lines_dropped").withColumn("n_chars", F.length("text").cast("long"))
+    """Every document, without its site's boilerplate lines, however small the site; n_chars follows the text."""
+    return line_dedup.drop_lines(docs, least_pages=1).drop("lines_dropped").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

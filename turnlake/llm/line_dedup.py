@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line's ratio is the share of its host's pages that hold it; lines whose ratio exceeds
-`ratio`, in hosts of at least `least_pages` pages, are boilerplate and are dropped wherever they stand in that host's
+`ratio`, on at least `least_hits` pages and in hosts of at least `least_pages` pages, are boilerplate and are dropped wherever they stand in that host's
 pages. Lines are compared by two 64-bit hashes of their stripped text; blank lines are kept and not counted.
 
 A host holds at most (its lines a page / ratio) boilerplate lines, so they fit an array on the host's row. Counting is
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import materialise, skew_lookup, table
 
-RATIO, LEAST_PAGES = 0.1, 10
+RATIO, LEAST_PAGES, LEAST_HITS = 0.1, 10, 2
 
 
 def _hash(line: Column) -> Column:
@@ -23,24 +23,24 @@ def _hash(line: Column) -> Column:
     return F.when(s != "", F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(77), s).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_hits: int = LEAST_HITS) -> DataFrame:
     """host, pages, drops array<struct<a,b>>: one row a host that has boilerplate. Null hosts are one host, ''."""
     own = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("t"))
     totals = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
     lines = own.select("host", F.explode(F.array_distinct(F.transform(F.split("t", "\n"), _hash))).alias("line")).where("line is not null")
     counts = lines.groupBy("host", F.col("line.a").alias("a"), F.col("line.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     # A line in fewer than ratio * least_pages pages can't exceed the ratio in any host that counts.
-    counts = counts.where(F.col("n") > ratio * least_pages)
+    counts = counts.where((F.col("n") > ratio * least_pages) & (F.col("n") >= least_hits))
     over = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
     return over.groupBy("host").agg(F.first("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("a", "b"))).alias("drops"))
 
 
-def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_hits: int = LEAST_HITS) -> DataFrame:
     """All rows and columns of `pages`, with boilerplate lines gone from the text, and a last column `lines_dropped`.
 
     Null texts stay null; a page of boilerplate alone becomes empty; rows are never dropped. Empty table: no rows."""
     plain = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"))
-    drops = materialise(boilerplate(pages, host, text, ratio, least_pages), "boilerplate").select("host", "drops")
+    drops = materialise(boilerplate(pages, host, text, ratio, least_pages, least_hits), "boilerplate").select("host", "drops")
     weights = materialise(plain.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
     total = weights.agg(F.sum("n")).first()[0] or 0
     names = pages.columns
