@@ -101,12 +101,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
         a = np.arange(min(gap - 1, below), (gap + 1) // 2 - 1, -1)
         if not len(a) or half < 1:
             return None
-        for x in a[(left[a] > 0) & (left[gap - a] > 0)][:4]:
+        for x in a[(left[a] > 0) & (left[gap - a] > 0)]:
             x = int(x)
             if free(x, taken) and free(gap - x, [*taken, x]):
                 return [x, gap - x]
         return None
 
+    def renew() -> None:
+        nonlocal pair_sums, age
+        there = (left > 0).astype(np.float64)
+        pair_sums, age = np.rint(np.convolve(there, there))[: capacity + 1] > 0, 0
+
     def exact(gap: int, taken: list[int]) -> list[int] | None:
         nonlocal pair_sums, age
         if free(gap, taken):
@@ -114,14 +119,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
         if found := pair(gap, taken, capacity):
             return found
         if pair_sums is None or age > 64:  # stale sums are a superset, for lengths only run out
-            there = (left > 0).astype(np.float64)
-            pair_sums, age = np.rint(np.convolve(there, there))[: capacity + 1] > 0, 0
+            renew()
         age += 1
         a = np.arange(gap - 2, max(0, (gap + 2) // 3 - 1), -1)
         a = a[(left[a] > 0) & pair_sums[gap - a]] if len(a) else a
-        for x in a[:16]:
+        for k, x in enumerate(a):
             x = int(x)
-            if free(x, taken) and (found := pair(gap - x, [*taken, x], x)):
+            if k == 16 and age > 1:  # many false hits: the others are tried on sums of what is left
+                renew()
+            if pair_sums[gap - x] and free(x, taken) and (found := pair(gap - x, [*taken, x], x)):
                 return [x, *found]
         return None
 
