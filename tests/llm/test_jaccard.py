@@ -60,3 +60,20 @@ def test_given_documents(spark, sf_dir):
     top = groups([r.text for r in rows])
     got = P.near_stage(spark, df.orderBy(F.rand()), sf_dir).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted({rows[k].doc_id for k in top})
+
+
+def test_cut_shards(spark, planted, monkeypatch):
+    """Shards far beyond a block: texts linked to the first one, texts left over, and the same groups as without blocks."""
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    r = random.Random(9)
+    base = [f"b{r.randrange(500)}" for _ in range(200)]
+    chain = [list(base)]
+    for _ in range(40):
+        nxt = list(chain[-1])
+        for _ in range(5):
+            nxt[r.randrange(200)] = f"c{r.randrange(9000)}"
+        chain.append(nxt)
+    texts = [" ".join(t) for t in chain] + planted
+    df = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SCHEMA)
+    got = P.near_stage(spark, df, None).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(groups(texts)))

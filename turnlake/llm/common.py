@@ -44,12 +44,13 @@ def hash_fraction(col: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def skew_lookup(main: DataFrame, key: str, looked_up: DataFrame, weights: DataFrame, total: int, share: int = 500, least: int = 200) -> DataFrame:
+def skew_lookup(main: DataFrame, key: str, looked_up: DataFrame, weights: DataFrame, total: int, share: int = 500, least: int = 200, how: str | None = None) -> DataFrame:
     """Left join of `main` with `looked_up` (one row a key) on `key` where few keys may hold most rows of `main`.
 
     `weights` has (key, n): how many rows of `main` hold it. Keys with more than total/share rows are at most `share`
     in number, whatever the data, so their rows are broadcast; rows of those keys get null keys spread over a salt in
-    the shuffled join of all others. Null keys find nothing."""
+    the shuffled join of all others. Null keys find nothing. `how` is a join hint for the others: with "shuffle_hash" the
+    plan has the same shape at every size."""
     kind = dict(main.dtypes)[key]
     heavy = weights.where(F.col("n") > max(least, total // share)).select(F.col(key).alias("_hot"))
     values = [c for c in looked_up.columns if c != key]
@@ -57,6 +58,7 @@ def skew_lookup(main: DataFrame, key: str, looked_up: DataFrame, weights: DataFr
     cold = looked_up.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "left_anti")
     hot = hot.select("_hot", F.struct(*values).alias("_h"))
     cold = cold.select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_csalt"), F.struct(*values).alias("_c"))
+    cold = cold.hint(how) if how else cold
     m = main.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     m = m.withColumn("_mkey", F.when(F.col("_hot").isNull(), F.col(key)).cast(kind))
     m = m.withColumn("_msalt", F.when(F.col("_mkey").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long")))
@@ -64,27 +66,6 @@ def skew_lookup(main: DataFrame, key: str, looked_up: DataFrame, weights: DataFr
     return out.select(*[out[c] for c in main.columns], *[F.coalesce(F.col(f"_h.{c}"), F.col(f"_c.{c}")).alias(c) for c in values])
 
 
-def keep_rows(docs: DataFrame, key: Column, groups: DataFrame) -> DataFrame:
-    """All columns of `docs`, one row of each group: the one with the least doc_id (null ids last), then by the row's hashes.
-
-    `groups` has (fp, least): a key and its group's name; keys that aren't there are groups of their own. Ids needn't be
-    distinct or there at all: rows are told apart by two hashes of all columns."""
-    every = [F.col(c) for c in docs.columns] + [F.col(c).isNull() for c in docs.columns]
-    hashes = [F.xxhash64(*every).alias("_a"), F.xxhash64(F.lit(77), *every).alias("_b")]
-    tag = [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")]
-    rows = docs.select(key.alias("fp"), *tag, *hashes).groupBy("fp", "no_id", "id", "_a", "_b").agg(F.count(F.lit(1)).alias("copies"))
-    rows = materialise(rows, "rows")
-    weights = materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "row-keys")
-    total = weights.agg(F.sum("n")).first()[0] or 0
-    got = skew_lookup(rows, "fp", groups, weights, total).withColumn("group", F.coalesce("least", "fp"))
-    first = got.groupBy("group").agg(F.min(F.struct("no_id", "id", "_a", "_b", "copies")).alias("k"))
-    kept = materialise(first.select("k._a", "k._b", "k.copies"), "kept")
-    out = docs.select("*", *hashes).join(kept.select("_a", "_b"), ["_a", "_b"], "left_semi")
-    if kept.where("copies > 1").limit(1).count():
-        out = out.dropDuplicates(["_a", "_b"])
-    return out.select(*docs.columns)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> list[tuple[str, int]]:
     """At most about `rows` (text, label) pairs, fixed by doc_id, of labelled documents whose crc32(doc_id) mod 5 is not 0.
 
