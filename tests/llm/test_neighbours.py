@@ -57,3 +57,19 @@ def test_queries_with_few_hits_are_searched_exactly(spark, monkeypatch):
         s = x @ x[q]
         s[q] = -np.inf
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(-s)[:20].tolist()
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Each distinct vector under a repeated id has its own list; vectors of two lengths are searched apart."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (40, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.nearest(df).collect())
+    assert got == sorted([(20, 1, 1, 2.0), (20, 2, 2, 0.0), (20, 1, 2, 3.0), (20, 2, 1, 0.0), (40, 1, 3, 2.0)])
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    x = unit(1600)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df).toPandas()
+    assert got.query_id.nunique() == 80 and (got.groupby("query_id").size() == 20).all()

@@ -9,20 +9,23 @@ success). Candidates of all tables are merged and ranked by exact inner products
 Parts of at most SAMPLE rows, and parts whose sample misses the wished recall with all probes, are searched exactly; so are
 all rows for queries that found fewer than k.
 
-The index isn't moved: each task hashes its own vectors, and the queries come in broadcast blocks of at most BLOCK.
+The index isn't moved: each task hashes its own vectors, and the queries come in broadcast blocks of about BLOCK, one
+block after the other, so the driver and the workers hold one block at a time.
 Equal vectors are one entry (with their least ids: no more than the top k and the query's own can count)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import hash_fraction, materialise, table
+from turnlake.llm.common import hash_fraction, materialise, shared_dir, table
 
 K, EVERY = 20, 20
 TABLES, RECALL = 10, 0.97
@@ -93,7 +96,8 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.ndarray, queries: np.ndarray, probe_keys: np.ndarray, hashed: tuple, k: int) -> Iterator[tuple]:
-    """(query ids, ranks' vec_ids, scores) of the best k candidates of this shard for each query that has any."""
+    """(query's place, vec_ids, scores) of the best k candidates of this shard for each query that has any. The work for a query
+    is in its probes and candidates, not in the shard's rows."""
     a, b, w = hashed
     rows, inverse = np.unique(x, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
@@ -105,15 +109,12 @@ def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.
         own = keys(np.floor((wide @ a[t] + b[t]) / w))
         by = np.argsort(own, kind="stable")
         buckets.append((own[by], by))
+    ends = [(np.searchsorted(own, probe_keys[t], "left"), np.searchsorted(own, probe_keys[t], "right")) for t, (own, _) in enumerate(buckets)]
     for i in range(len(queries)):
-        seen = np.zeros(len(rows), bool)
-        for t, (own, by) in enumerate(buckets):
-            lo, hi = np.searchsorted(own, probe_keys[t, :, i], "left"), np.searchsorted(own, probe_keys[t, :, i], "right")
-            for s, e in zip(lo[hi > lo], hi[hi > lo]):
-                seen[by[s:e]] = True
-        found = np.flatnonzero(seen)
-        if not len(found):
+        spans = [by[s:e] for (lo, hi), (_, by) in zip(ends, buckets) for s, e in zip(lo[:, i].tolist(), hi[:, i].tolist()) if e > s]
+        if not spans:
             continue
+        found = np.unique(np.concatenate(spans))
         rough = rows[found] @ queries[i]
         if len(found) > 2 * k + 2:
             found = found[np.argpartition(-rough, 2 * k + 1)[: 2 * k + 2]]
@@ -126,7 +127,7 @@ def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.
             got.append(np.full(len(same), s))
         got_ids, got = np.concatenate(got_ids), np.concatenate(got)
         best = np.lexsort((got_ids, -got))[:k]
-        yield query_ids[i], got_ids[best], got[best]
+        yield i, got_ids[best], got[best]
 
 
 def search_exact(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
@@ -147,7 +148,7 @@ def search_exact(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
                 got.append(np.full(len(same), s))
             got_ids, got = np.concatenate(got_ids), np.concatenate(got)
             best = np.lexsort((got_ids, -got))[:k]
-            yield query_ids[at + i], got_ids[best], got[best]
+            yield at + i, got_ids[best], got[best]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -200,13 +201,18 @@ def tune(sample: np.ndarray, total: int, top_norm: float, k: int = K, recall: fl
     return hashed, sets, float((flat < len(sets)).mean())
 
 
-def _searched(index: DataFrame, d: int, query_ids: np.ndarray, queries: np.ndarray, k: int, top: float = 0.0, hashed: tuple | None = None, sets: list | None = None) -> DataFrame:
-    """Each task's best k rows of `index` for each query: by probes, or exactly without `hashed`."""
+FOUND = "asked long, query_id long, vec_id long, score double"
+
+
+def _searched(index: DataFrame, d: int, block: tuple, k: int, top: float = 0.0, hashed: tuple | None = None, sets: list | None = None) -> tuple[DataFrame, Broadcast]:
+    """Each task's best k rows of `index` for each query of a block (asked, ids, vectors): by probes, or exactly without
+    `hashed`. And the broadcast, to be destroyed once the rows are written."""
+    asked, query_ids, queries = block
     probe_keys = None if hashed is None else probes(scaled(queries, top), hashed, sets)
-    shared = index.sparkSession.sparkContext.broadcast((query_ids, queries, probe_keys))
+    shared = index.sparkSession.sparkContext.broadcast((asked, query_ids, queries, probe_keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, probe_keys = shared.value
+        asked, query_ids, queries, probe_keys = shared.value
         ids, vs, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -222,7 +228,8 @@ def _searched(index: DataFrame, d: int, query_ids: np.ndarray, queries: np.ndarr
                 yield batch_of(part)
 
         def batch_of(part: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(v), i) for i, v, _ in part]), "vec_id": np.concatenate([v for _, v, _ in part]), "score": np.concatenate([s for _, _, s in part])})
+            at = np.concatenate([np.full(len(v), i) for i, v, _ in part])
+            return pa.RecordBatch.from_pydict({"asked": asked[at], "query_id": query_ids[at], "vec_id": np.concatenate([v for _, v, _ in part]), "score": np.concatenate([s for _, _, s in part])})
 
         for batch in batches:
             if not batch.num_rows:
@@ -236,31 +243,32 @@ def _searched(index: DataFrame, d: int, query_ids: np.ndarray, queries: np.ndarr
         if held:
             yield from flush()
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(run, FOUND), shared
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest found by inner product.
+def _blocks(queries: DataFrame, count: int, d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """At most about BLOCK queries at a time reach the driver."""
+    blocks = -(-count // BLOCK)
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(F.lit(4), F.col("asked")), F.lit(blocks)) == block).dropDuplicates().toPandas().sort_values(["vec_id", "asked"], kind="stable")
+        if len(own):
+            yield own.asked.to_numpy(), own.vec_id.to_numpy(), np.array(own.v.tolist(), np.float64).reshape(-1, d)
 
-    Ties go to the smaller vec_id; a row's copies under other ids are candidates, the query's own id isn't. Vectors of a
-    length other than the commonest take no part. Repeated ids: a query for each distinct row. Empty table: no rows."""
-    spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    good = usable(vectors)
-    by_size = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.count_if(F.col("vec_id") % every == 0).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def ranked(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
 
-    if not by_size or not by_size[0].q:
-        return ranked(spark.createDataFrame([], schema))
-    d, n, top, q = by_size[0]
+def _of_length(good: DataFrame, d: int, n: int, top: float, q: int, k: int, every: int) -> DataFrame:
+    """asked, query_id, rank, vec_id, score: `nearest` among the `n` vectors of length d, of which `q` ask."""
+    spark = good.sparkSession
+    path = f"{shared_dir(spark)}/neighbours-{uuid.uuid4().hex}"
     # The top of the first part lies half a step above the largest norm, so that equal norms with rounding are one part.
     part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor(F.lit(0.5) - F.log2(F.col("norm") / F.lit(top)) * 4))).cast("int")
-    good = good.where(F.size("v") == d).select("vec_id", "v", part.alias("part"), "norm")
-    asked = good.where(hash_fraction(F.col("vec_id"), 22) < min(1.0, ASKED / n)).select("v").toPandas()
-    asked = np.array(asked.v.tolist(), np.float64).reshape(-1, d)
+    good = good.where(F.size("v") == d).select("vec_id", "v", part.alias("part"), "norm", F.xxhash64("vec_id", "v").alias("asked"))
+    sample = good.where(hash_fraction(F.col("vec_id"), 22) < min(1.0, ASKED / n)).select("v").toPandas()
+    asked = np.array(sample.v.tolist(), np.float64).reshape(-1, d)
     tuned, plain = {}, []
     for r in good.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy("part").collect():
         if r.n > SAMPLE:
@@ -274,34 +282,44 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     shards = max(spark.sparkContext.defaultParallelism, -(-n // SHARD))
 
     def of_parts(own: list[int]) -> DataFrame:
-        return (good.where(F.col("part").isin(own)) if len(own) <= len(tuned) + len(plain) - 1 else good).select("vec_id", "v").coalesce(shards)
-
-    def blocks_of(queries: DataFrame, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        blocks = -(-count // BLOCK)
-        for block in range(blocks):
-            own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).dropDuplicates().toPandas().sort_values("vec_id", kind="stable")
-            if len(own):
-                yield own.vec_id.to_numpy(), np.array(own.v.tolist(), np.float64).reshape(-1, d)
-
-    queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    parts = []
-    for ids, x in blocks_of(queries, q):
-        parts += [_searched(of_parts([p]), d, ids, x, k, *found) for p, found in tuned.items()]
-        if plain:
-            parts.append(_searched(of_parts(plain), d, ids, x, k))
-    if not parts:
-        return ranked(spark.createDataFrame([], schema))
-    found = ranked(reduce(DataFrame.union, parts))
-    if not tuned:
-        return found
-    found = materialise(found, "neighbours")
-    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
-    short = materialise(queries.join(full, "vec_id", "left_anti"), "short-queries")
-    again = [_searched(good.select("vec_id", "v").coalesce(shards), d, ids, x, k) for ids, x in blocks_of(short, short.count())]
-    if not again:
-        return found
-    whole = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*found.columns)
-    return whole.union(ranked(reduce(DataFrame.union, again)))
+        return (good.where(F.col("part").isin(own)) if len(own) < len(tuned) + len(plain) else good).select("vec_id", "v").coalesce(shards)
+
+    def write(block: tuple, exact: list[int], by_probes: dict) -> None:
+        """A block's searches, ranked and written before the next block comes: one block's broadcasts are held at a time."""
+        searched = [_searched(of_parts([p]), d, block, k, *found) for p, found in by_probes.items()]
+        if exact:
+            searched.append(_searched(of_parts(exact), d, block, k))
+        _best(reduce(DataFrame.union, [s for s, _ in searched]), k).write.mode("append").parquet(path)
+        for _, shared in searched:
+            shared.destroy()
+
+    queries = good.where(F.col("vec_id") % every == 0).select("asked", "vec_id", "v")
+    for block in _blocks(queries, q, d):
+        write(block, plain, tuned)
+    schema = FOUND + ", rank int"
+    if tuned:
+        found = spark.read.schema(schema).parquet(path)
+        full = materialise(found.groupBy("asked").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("asked"), "full-queries")
+        short = materialise(queries.join(full, "asked", "left_anti"), "short-queries")
+        done, path = found.join(full, "asked", "left_semi").select(*found.columns), f"{path}-short"
+        count = short.count()
+        for block in _blocks(short, count, d):
+            write(block, [*plain, *tuned], {})
+        return done.union(spark.read.schema(schema).parquet(path)) if count else done
+    return spark.read.schema(schema).parquet(path)
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest found by inner product.
+
+    Ties go to the smaller vec_id; a row's copies under other ids are candidates, rows under the query's own id aren't.
+    Vectors are compared with those of their own length. Repeated ids: a list of k for each distinct vector under the id.
+    Fewer than k candidates: all of them. Empty table: no rows."""
+    good = usable(vectors)
+    lengths = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.count_if(F.col("vec_id") % every == 0).alias("q")).where("q > 0").orderBy("d").collect()
+    found = [_of_length(good, r.d, r.n, r.top, r.q, k, every) for r in lengths]
+    found = found or [vectors.sparkSession.createDataFrame([], FOUND + ", rank int")]
+    return reduce(DataFrame.union, found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
