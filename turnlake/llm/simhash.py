@@ -1,8 +1,8 @@
 """SimHash near-dedup with BK-trees.
 
 A document's fingerprint takes, at each of 64 places, the majority of its shingles' hashes. Distinct fingerprints are then
-linked at up to RADIUS differing bits. Two fingerprints that differ in so few bits agree on at least one of RADIUS + 1
-blocks of bits, so each block's value names a shard; a shard's fingerprints form a BK-tree, whose children are keyed by their
+linked at up to RADIUS differing bits. Two fingerprints that differ in so few bits agree on at least two of RADIUS + 2
+blocks of bits, so each pair of blocks and its value (32 bits) names a shard; a shard's fingerprints form a BK-tree, whose children are keyed by their
 integer Hamming distance to the parent, and a search follows only edges within the radius of a query's distance. A
 shard beyond SHARD fingerprints is cut into subtrees, and each is sent to every block of queries of that shard.
 A tree tells of each fingerprint only the least one that it is linked with, directly or by way of others in the tree, so a
@@ -144,16 +144,18 @@ def _shard_links(radius: int):
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, least: stars that join all fingerprints within the radius of each other. `distinct` has one row an fp; it is read twice."""
-    blocks = radius + 1
+    blocks = radius + 2
     widths = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
     shifts = [sum(widths[:k]) for k in range(blocks)]
-    cut = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (s, w) in enumerate(zip(shifts, widths))])
+    values = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(shifts, widths)]
+    pairs = [(a, b) for a in range(blocks) for b in range(a)]
+    cut = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftleft(values[a], widths[b]).bitwiseOR(values[b]).alias("value")) for k, (a, b) in enumerate(pairs)])
     rows = distinct.select("fp", F.explode(cut).alias("x")).select("fp", "x.block", "x.value")
     sizes = materialise(rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
     total = distinct.count()
     key = F.xxhash64("block", "value").alias("key")
     main = rows.withColumn("key", key)
-    found = skew_lookup(main, "key", sizes.select(key, F.col("n").alias("size")), sizes.select(key, "n"), blocks * total)
+    found = skew_lookup(main, "key", sizes.select(key, F.col("n").alias("size")), sizes.select(key, "n"), len(pairs) * total)
     found = found.where("size is not null")
     parts = F.ceil(F.col("size") / F.lit(SHARD)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(3), F.col("fp")), F.col("parts")).cast("int")
@@ -161,7 +163,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     # Subtree `own` meets the queries of every other part j > own; (own, own) is the subtree with itself.
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
     dealt = found.select("block", "value", F.explode(meet).alias("m"), "fp").select("block", "value", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "fp", F.col("m.side").alias("side"))
-    dealt = dealt.repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j", "side", "fp")
+    # Rows are few bytes and much work, so their number decides how many tasks there are.
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, len(pairs) * total // 200_000)
+    dealt = dealt.repartition(int(tasks), "block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j", "side", "fp")
     return dealt.mapInArrow(_shard_links(radius), "fp long, least long")
 
 
