@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from turnlake.llm import fingerprints, language_id, line_dedup, neighbours, packing, quality, sentencepieces, simhash, toxicity, warc
+from turnlake.llm import fingerprints, jaccard, language_id, line_dedup, neighbours, packing, quality, sentencepieces, simhash, toxicity, warc
 
 
 def docs(spark, sf_dir):
@@ -217,7 +217,7 @@ def test_simhash(spark, sf_dir, odd_docs):
     got = {r.doc_id: r.component_id for r in simhash.near_groups(odd_docs).collect()}
     assert got[7] == 6 and got[2] == got[3] == got[5] == 2 and got[8] == 8
     assert simhash.near_groups(empty(odd_docs)).count() == 0
-    kept = simhash.keep_one(odd_docs).select("doc_id").collect()
+    kept = jaccard.keep_one(odd_docs).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 2, 6, 8, 9]
 
 
@@ -249,7 +249,7 @@ def test_line_dedup(spark, odd_docs):
     rows = [(k, f"Menu | home\nown line {k}\n\n Menu | home ", "h" if k < 20 else "small", 1) for k in range(24)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines_kept int")
     got = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
-    assert got[3].text == "own line 3\n" and got[3].lines_dropped == 2 and got[21].lines_dropped == 0
-    odd = line_dedup.drop_lines(odd_docs, least_pages=1, ratio=0.5).collect()
+    assert got[3].text == "own line 3\n" and got[3].lines_dropped == 2 and got[21].lines_dropped == 2
+    odd = line_dedup.drop_lines(odd_docs, ratio=0.5).collect()
     assert len(odd) == 10 and [r.text for r in odd if r.doc_id == 2] == [None]
     assert line_dedup.drop_lines(empty(odd_docs)).count() == 0

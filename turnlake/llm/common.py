@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder every executor and the driver can reach: spark.checkpoint.dir. Unset, a temporary folder serves a local
+    master (tests); on a cluster it would be one machine's, so that is an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         at = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -80,10 +83,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     return [(r.text, r._y) for r in sorted(got.select("doc_id", "text", "_y").collect(), key=lambda r: (r.doc_id, r.text))]
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores before it as it takes to clash with no other."""
+    while name.lower() in map(str.lower, taken):
+        name = "_" + name
+    return name
+
+
 def append(rows: DataFrame, text: str, added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """All rows and columns, and the columns `added` (a schema): make() is called once a task and gives a function from a
-    batch's texts to a list of each added column's values."""
-    fields = T._parse_datatype_string(added).fields
+    """All rows and columns, and then the columns `added` (a schema): make() is called once a task and gives a function from a
+    batch's texts to a list of each added column's values. Names that `rows` has already get underscores before them."""
+    fields = [T.StructField(fresh(f.name, rows.columns), f.dataType) for f in T._parse_datatype_string(added).fields]
     at = rows.columns.index(text)
     schema = T.StructType(rows.schema.fields + fields)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -100,15 +110,19 @@ def append(rows: DataFrame, text: str, added: str, make: Callable[[], Callable[[
 
 
 class Memo(dict):
-    """value = make(key). At most `limit` keys are held (bounded memory in a worker); once full, new keys are made anew each
+    """value = make(key). At most `limit` keys are held, and none beyond LONG characters (bounded memory in a worker); once full, new keys are made anew each
     time, until four times as many have been: then all are dropped, so a changed vocabulary is learned."""
 
+    LONG = 256
+
     def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()
         self.make, self.limit, self.missed = make, limit, 0
 
     def __missing__(self, key):
         value = self.make(key)
+        if isinstance(key, str) and len(key) > self.LONG:
+            return value
         if len(self) >= self.limit:
             self.missed += 1
             if self.missed < 4 * self.limit:

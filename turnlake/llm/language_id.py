@@ -14,9 +14,8 @@ from turnlake.llm.common import append, crc_mod, hash_fraction, table
 
 WINDOW = 64
 HIDDEN = 10
-#: Bounds of the training sample: documents a language, windows a document.
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS = 400, 6, 5
-LEAST_STEPS = 240
+#: Bounds of the training: labelled windows a language (of all windows of whole texts), and batches.
+SAMPLE_WINDOWS, STEPS = 2400, 250
 ROWS = 4096
 
 
@@ -113,27 +112,26 @@ class ByteGru:
                 g[f"E{s}"][j] = np.bincount(flat, at_input[:, j].reshape(-1), minlength=256)
         return loss, g
 
-    def fit(self, windows: list[bytes], langs: list[int], epochs: int = EPOCHS, rate: float = 0.02, batch: int = 192) -> list[float]:
-        """Adam over shuffled batches; returns each epoch's mean loss. Small samples get more epochs: LEAST_STEPS batches at least."""
+    def fit(self, windows: list[bytes], langs: list[int], steps: int = STEPS, rate: float = 0.02, batch: int = 192) -> list[float]:
+        """Adam over `steps` shuffled batches, in as many rounds through the sample as they take; returns each batch's loss."""
         x, mask = _grid(windows)
         want, r = np.array(langs), np.random.default_rng(11)
         m, v, k, losses = {n: 0.0 for n in self.p}, {n: 0.0 for n in self.p}, 0, []
-        epochs = max(epochs, -(-LEAST_STEPS // -(-x.shape[1] // batch)))
-        for epoch in range(epochs):
-            order, got = r.permutation(x.shape[1]), []
-            step = rate * 0.5 ** max(0.0, 5 * epoch / epochs - 2)
-            for at in range(0, len(order), batch):
-                own = order[at : at + batch]
-                loss, g = self.gradients(x[:, own], want[own], mask[:, own])
-                got.append(loss)
-                k += 1
-                size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-                for n, q in g.items():
-                    q = q * min(1.0, 1.0 / (size + 1e-9))
-                    m[n] = 0.9 * m[n] + 0.1 * q
-                    v[n] = 0.99 * v[n] + 0.01 * q * q
-                    self.p[n] -= (step * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
-            losses.append(float(np.mean(got)))
+        order = np.zeros(0, np.int64)
+        while k < steps:
+            if not len(order):
+                order = r.permutation(x.shape[1])
+            own, order = order[:batch], order[batch:]
+            loss, g = self.gradients(x[:, own], want[own], mask[:, own])
+            losses.append(loss)
+            step = rate * 0.5 ** max(0.0, 5 * k / steps - 2)
+            k += 1
+            size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
+            for n, q in g.items():
+                q = q * min(1.0, 1.0 / (size + 1e-9))
+                m[n] = 0.9 * m[n] + 0.1 * q
+                v[n] = 0.99 * v[n] + 0.01 * q * q
+                self.p[n] -= (step * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return losses
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
@@ -172,23 +170,22 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, docs_a_lang: int = SAMPLE_DOCS, windows_a_doc: int = SAMPLE_WINDOWS) -> ByteGru | None:
+def train(docs: DataFrame, windows_a_lang: int = SAMPLE_WINDOWS) -> ByteGru | None:
     """Learns from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2.
 
-    The sample is about `docs_a_lang` documents of each language (all, if fewer), fixed by doc_id, and of each
-    `windows_a_doc` evenly spread windows: what reaches the driver has this bound. None: nothing to learn from."""
-    own = docs.select("doc_id", "text", "lang").where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    ids = docs.select("doc_id", "lang").where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}
+    The labelled rows are the windows of whole texts; the sample is about `windows_a_lang` of each language (all, if fewer),
+    fixed by doc_id and place: what reaches the driver has this bound. None: nothing to learn from."""
+    own = docs.select("doc_id", F.col("lang").alias("lang"), F.encode("text", "utf-8").alias("raw")).where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    count = F.ceil(F.octet_length("raw") / WINDOW).cast("int")
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum(count).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, docs_a_lang / n))])
-    cut = F.transform(F.sequence(F.lit(0), F.lit(windows_a_doc - 1)), lambda k: F.substring(F.col("text"), 1 + F.floor(F.greatest(F.lit(0), F.length("text") - WINDOW) * k / max(1, windows_a_doc - 1)).cast("int"), F.lit(WINDOW)))
-    rows = own.where(hash_fraction(F.col("doc_id"), 3) < share[F.col("lang")]).select("doc_id", "lang", cut.alias("cuts")).collect()
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, windows_a_lang / n))])[F.col("lang")]
+    taken = F.filter(F.sequence(F.lit(0), count - 1), lambda k: hash_fraction(F.xxhash64("doc_id", k), 3) < F.col("share"))
+    own = own.withColumn("share", share).withColumn("taken", taken).where(F.size("taken") > 0)
+    rows = own.select("doc_id", "lang", F.transform("taken", lambda k: F.substring(F.col("raw"), k * WINDOW + 1, F.lit(WINDOW))).alias("cuts")).collect()
     langs = sorted({r.lang for r in rows})
-    if not langs:
-        return None
-    pairs = sorted({(r.doc_id, w.encode()[:WINDOW], langs.index(r.lang)) for r in rows for w in r.cuts if has_letter(w)})
+    pairs = sorted({(r.doc_id, bytes(w), langs.index(r.lang)) for r in rows for w in r.cuts if has_letter(bytes(w).decode(errors="ignore"))})
     if not pairs:
         return None
     model = ByteGru(langs)
@@ -197,7 +194,7 @@ def train(docs: DataFrame, docs_a_lang: int = SAMPLE_DOCS, windows_a_doc: int =
 
 
 def predict(docs: DataFrame, model: ByteGru | None, text: str = "text") -> DataFrame:
-    """All columns of `docs`, lang_pred and lang_score. Null texts and texts without a letter: 'und', 0; so for all if there is no model."""
+    """All columns of `docs`, then lang_pred and lang_score (see `append` on names). Null texts and texts without a letter: 'und', 0; so for all if there is no model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -1,8 +1,7 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line's ratio is the share of its host's pages that hold it; lines whose ratio exceeds
-`ratio`, on at least `least_hits` pages and in hosts of at least `least_pages` pages, are boilerplate and are dropped wherever they stand in that host's
-pages. Lines are compared by two 64-bit hashes of their stripped text; blank lines are kept and not counted.
+`ratio`, on at least `least_hits` pages, are boilerplate and are dropped wherever they stand in that host's pages, however few. Lines are compared by two 64-bit hashes of their stripped text; blank lines are kept and not counted.
 
 A host holds at most (its lines a page / ratio) boilerplate lines, so they fit an array on the host's row. Counting is
 pre-aggregated and keyed by (host, line); hosts' arrays reach the pages through a skew-safe lookup."""
@@ -12,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import materialise, skew_lookup, table
+from turnlake.llm.common import fresh, materialise, skew_lookup, table
 
-RATIO, LEAST_PAGES, LEAST_HITS = 0.1, 10, 2
+RATIO, LEAST_HITS = 0.1, 2
 
 
 def _hash(line: Column) -> Column:
@@ -23,24 +22,25 @@ def _hash(line: Column) -> Column:
     return F.when(s != "", F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(77), s).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_hits: int = LEAST_HITS) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_hits: int = LEAST_HITS) -> DataFrame:
     """host, pages, drops array<struct<a,b>>: one row a host that has boilerplate. Null hosts are one host, ''."""
     own = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("t"))
-    totals = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+    totals = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = own.select("host", F.explode(F.array_distinct(F.transform(F.split("t", "\n"), _hash))).alias("line")).where("line is not null")
     counts = lines.groupBy("host", F.col("line.a").alias("a"), F.col("line.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    # A line in fewer than ratio * least_pages pages can't exceed the ratio in any host that counts.
-    counts = counts.where((F.col("n") > ratio * least_pages) & (F.col("n") >= least_hits))
-    over = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
+    counts = materialise(counts.where(F.col("n") >= least_hits), "line-counts")
+    # A host with most of all lines is spread over many tasks.
+    held = materialise(counts.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-lines")
+    over = skew_lookup(counts, "host", totals, held, held.agg(F.sum("n")).first()[0] or 0).where(F.col("n") > F.col("pages") * ratio)
     return over.groupBy("host").agg(F.first("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("a", "b"))).alias("drops"))
 
 
-def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_hits: int = LEAST_HITS) -> DataFrame:
-    """All rows and columns of `pages`, with boilerplate lines gone from the text, and a last column `lines_dropped`.
+def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_hits: int = LEAST_HITS) -> DataFrame:
+    """All rows and columns of `pages`, with boilerplate lines gone from the text, and a last column `lines_dropped` (with underscores before it where that name is taken).
 
     Null texts stay null; a page of boilerplate alone becomes empty; rows are never dropped. Empty table: no rows."""
     plain = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"))
-    drops = materialise(boilerplate(pages, host, text, ratio, least_pages, least_hits), "boilerplate").select("host", "drops")
+    drops = materialise(boilerplate(pages, host, text, ratio, least_hits), "boilerplate").select("host", "drops")
     weights = materialise(plain.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
     total = weights.agg(F.sum("n")).first()[0] or 0
     names = pages.columns
@@ -50,7 +50,7 @@ def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio
     kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("drops"), _hash(x)), F.lit(True)))
     got = got.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("drops").isNull(), F.col("_lines")).otherwise(kept))
     cols = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in names]
-    return got.select(*cols, (F.size(F.coalesce("_lines", F.array())) - F.size(F.coalesce("_kept", F.array()))).alias("lines_dropped"))
+    return got.select(*cols, (F.size(F.coalesce("_lines", F.array())) - F.size(F.coalesce("_kept", F.array()))).alias(fresh("lines_dropped", names)))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,9 @@ ORACLE = r"""
 with pages as (select doc_id, coalesce(source, '') host, text, row_number() over () rid from documents),
 l as (select rid, host, i, string_split(text, chr(10))[i] line from (select rid, host, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from pages where text is not null)),
 s as (select *, trim(regexp_replace(line, '[\t\r]', ' ', 'g'), ' ') k from l),
-tot as (select host, count(*) pages from pages group by host having count(*) >= 10),
+tot as (select host, count(*) pages from pages group by host),
 c as (select host, k, count(distinct rid) n from s where k <> '' group by host, k),
-bad as (select c.host, c.k from c join tot using (host) where n > pages * 0.1),
+bad as (select c.host, c.k from c join tot using (host) where n >= 2 and n > pages * 0.1),
 j as (select s.rid, s.i, s.line, bad.k is not null gone from s left join bad on s.host = bad.host and s.k = bad.k),
 r as (select rid, coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') kept, count(*) filter (where gone) g from j group by rid)
 select doc_id, cast(length(kept) as bigint) kept_chars, md5(kept) kept_md5, cast(coalesce(g, 0) as bigint) lines_dropped from pages left join r using (rid)

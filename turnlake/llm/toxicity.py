@@ -75,7 +75,7 @@ class Voters:
         for f in self.proposed.keys() & word_features(ws):
             v[self.proposed[f]] = 1
         v[-3] = not ws.isdisjoint(GENERAL)
-        v[-2] = any(m.lower().translate(LEET) in GENERAL for m in _MARKED.findall(text)[:10_000])
+        v[-2] = any(m.lower().translate(LEET) in GENERAL for m in _MARKED.findall(text))
         v[-1] = not v[:-1].any()
         return v
 
@@ -179,7 +179,7 @@ def fit(rows: list[tuple[str, int]], passes: int = 30) -> tuple[Classifier, Labe
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """All columns of `docs` and toxic_score; null texts score as empty ones."""
+    """All columns of `docs`, then toxic_score (see `append` on names); null texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return append(docs, text, "toxic_score double", lambda: lambda texts: [[shared.value.score(t or "") for t in texts]])
 
