@@ -22,18 +22,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     got = language_id.predict(docs, model)
-    return got.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    found, score = got.columns[-2:]
+    return got.where((F.col(found) != "und") & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below MOST_TOXIC."""
     got = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return got.where(F.col("toxic_score") < MOST_TOXIC).select(*docs.columns)
+    return got.where(F.col(got.columns[-1]) < MOST_TOXIC).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without its site's boilerplate lines, however small the site; n_chars follows the text."""
-    return line_dedup.drop_lines(docs, least_pages=1).drop("lines_dropped").withColumn("n_chars", F.length("text").cast("long"))
+    got = line_dedup.drop_lines(docs).select(*docs.columns)
+    return got.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
