@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Memo, materialise, table
+from turnlake.llm.common import materialise, table
 
 CAPACITY = 2048
 #: Rows of one length ranked by one task: a thousandth of all, at most a million.
@@ -29,37 +29,46 @@ _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|-]*)")
 _encoders: dict = {}
 
 
-class ChunkEncoder:
-    """Ids of a text as little-endian 32-bit numbers, by way of its white-space-free chunks.
+class ChunkEncoder(dict):
+    """Ids of a text as little-endian 32-bit numbers, by way of its white-space-free chunks, which are the keys.
 
     For tokenizers that turn white space into cuts, which `tokenizers` applies before pieces are merged: a text's ids are
-    then its chunks' ids in a row, and each chunk is encoded once (bounded memory). Letters and the punctuation after them
-    are also cut by this tokenizer's pattern."""
+    then its chunks' ids in a row. Letters and the punctuation after them are also cut by this tokenizer's pattern, so a
+    capitalised or punctuated word follows from its parts. At most LIMIT chunks are held, none beyond LONG characters, and
+    chunks made of parts only in the first half; as with Memo, a full table is dropped after many misses."""
+
+    LIMIT, LONG = 900_000, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
+        super().__init__()
+        self.own, self.missed = Tokenizer.from_file(path), 0
         # What Unicode calls white space, in the tokenizer's pattern; str.split() also splits at these four.
         self.odd = re.compile("[\x1c-\x1f]")
-        self.white = re.compile("[\\s]+")
-        self.words = Memo(lambda w: self._ids(w), 400_000)
-        self.chunks = Memo(self._chunk, 500_000)
 
     def _ids(self, text: str) -> bytes:
         ids = self.own.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
         m = _LETTERS.fullmatch(chunk)
-        if not m or not (m[2] or not chunk.islower()):
-            return self._ids(chunk)
-        return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
+        if m and (m[2] or not chunk.islower()):
+            ids, most = self[m[1].lower()] + (self[m[2]] if m[2] else b""), self.LIMIT // 2
+        else:
+            ids, most = self._ids(chunk), self.LIMIT
+            self.missed += len(self) >= self.LIMIT
+            if self.missed > 4 * self.LIMIT:
+                self.missed = 0
+                self.clear()
+        if len(self) < most and len(chunk) <= self.LONG:
+            self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if self.odd.search(text):
             return self._ids(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
