@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from turnlake.llm import jaccard, language_id, line_dedup, packing, toxicity
 from turnlake.llm.common import shared_dir, table
 
-#: Documents whose best language has less than this share of the positions are rejected, as are those without a letter.
-LEAST_LANGUAGE = 0.3
+#: Documents are rejected whose best language's score lies less than this part of the way from even chances to certainty, as
+#: are those without a letter.
+LEAST_LANGUAGE = 0.15
 MOST_TOXIC = 0.5
 
 
+def least_score(languages: int) -> float:
+    return 1 / languages + LEAST_LANGUAGE * (1 - 1 / languages) - 1e-6
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a learned language. If nothing can be learned (no labelled language), only texts without a letter go."""
     model = language_id.train(docs)
@@ -23,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return docs.where(F.col("text").rlike(r"\p{L}"))
     got = language_id.predict(docs, model)
     found, score = got.columns[-2:]
-    return got.where((F.col(found) != "und") & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
+    return got.where((F.col(found) != "und") & (F.col(score) >= least_score(len(model.langs)))).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
