@@ -174,15 +174,17 @@ def train(docs: DataFrame, windows_a_lang: int = SAMPLE_WINDOWS) -> ByteGru | No
     """Learns from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2.
 
     The labelled rows are the windows of whole texts; the sample is about `windows_a_lang` of each language (all, if fewer),
-    fixed by doc_id and place: what reaches the driver has this bound. None: nothing to learn from."""
-    own = docs.select("doc_id", F.col("lang").alias("lang"), F.encode("text", "utf-8").alias("raw")).where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    count = F.ceil(F.octet_length("raw") / WINDOW).cast("int")
+    fixed by doc_id and place: what reaches the driver has this bound. Documents are drawn first, 16 times as many as
+    windows in proportion, then windows of these. None: nothing to learn from."""
+    own = docs.select("doc_id", "lang", "text").where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    count = F.ceil(F.octet_length("text") / WINDOW).cast("int")
     counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum(count).alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, windows_a_lang / n))])[F.col("lang")]
-    taken = F.filter(F.sequence(F.lit(0), count - 1), lambda k: hash_fraction(F.xxhash64("doc_id", k), 3) < F.col("share"))
-    own = own.withColumn("share", share).withColumn("taken", taken).where(F.size("taken") > 0)
+    own = own.withColumn("share", share).withColumn("drawn", F.least(F.lit(1.0), 16 * share)).where(hash_fraction(F.col("doc_id"), 9) < F.col("drawn"))
+    taken = F.filter(F.sequence(F.lit(0), count - 1), lambda k: hash_fraction(F.xxhash64("doc_id", k), 3) < F.col("share") / F.col("drawn"))
+    own = own.withColumn("taken", taken).where(F.size("taken") > 0).withColumn("raw", F.encode("text", "utf-8"))
     rows = own.select("doc_id", "lang", F.transform("taken", lambda k: F.substring(F.col("raw"), k * WINDOW + 1, F.lit(WINDOW))).alias("cuts")).collect()
     langs = sorted({r.lang for r in rows})
     pairs = sorted({(r.doc_id, bytes(w), langs.index(r.lang)) for r in rows for w in r.cuts if has_letter(bytes(w).decode(errors="ignore"))})
