@@ -34,17 +34,16 @@ class ChunkEncoder(dict):
 
     For tokenizers that turn white space into cuts, which `tokenizers` applies before pieces are merged: a text's ids are
     then its chunks' ids in a row. Letters and the punctuation after them are also cut by this tokenizer's pattern, so a
-    capitalised or punctuated word follows from its parts. Chunks are held from their second time on (a table of bits knows the
-    first), at most LIMIT, none beyond LONG characters, and chunks made of parts only in the first half; as with Memo, a
-    full table is dropped after many misses."""
+    capitalised or punctuated word follows from its parts. At most LIMIT chunks are held, none beyond LONG characters, and
+    chunks made of parts only in the first half; as with Memo, a full table is dropped after many misses."""
 
-    LIMIT, LONG, MET = 500_000, 256, 1 << 23
+    LIMIT, LONG = 600_000, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.own, self.missed, self.met = Tokenizer.from_file(path), 0, bytearray(self.MET // 8)
+        self.own, self.missed = Tokenizer.from_file(path), 0
         # What Unicode calls white space, in the tokenizer's pattern; str.split() also splits at these four.
         self.odd = re.compile("[\x1c-\x1f]")
 
@@ -63,11 +62,7 @@ class ChunkEncoder(dict):
                 self.missed = 0
                 self.clear()
         if len(self) < most and len(chunk) <= self.LONG:
-            place = hash(chunk) % self.MET
-            if self.met[place >> 3] >> (place & 7) & 1:
-                self[chunk] = ids
-            else:
-                self.met[place >> 3] |= 1 << (place & 7)
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
