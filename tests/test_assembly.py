@@ -34,6 +34,30 @@ def test_marker_opens_a_run_and_bootstrap_goal_is_replaced():
     assert got[1]["goal"] == "read the quarterly numbers" and not got[1]["opened"]
 
 
+def test_weak_goals_join_no_run_but_give_way():
+    got = fold(rows(("s", 0, "fix the parser tests"), ("u", MIN, "hi all")))
+    assert got[1]["opened"]  # a weak goal is no reason to join another session's run
+    got = fold(rows(("s", 0, "hi all"), ("u", MIN, "fix the parser tests")))
+    assert not got[1]["opened"] and got[1]["goal"] == "fix the parser tests"
+    got = fold(rows(("s", 0, "hi all"), ("u", MIN, "A new session was started via /new or /reset.")))
+    assert got[1]["opened"]  # an unknown goal doesn't look at the agent's other sessions
+
+
+def test_failed_runs_are_not_continued():
+    turns = rows(("s", 0, "fix the parser tests"), ("s", MIN, "paint"), ("s", 2 * MIN, "paint"))
+    turns[0]["status"] = "failed"
+    assert [x["opened"] for x in fold(turns)] == [True, True, False]
+    turns[0]["status"] = "completed"
+    assert [x["opened"] for x in fold(turns)] == [True, False, False]
+
+
+def test_nothing_is_forgotten():
+    turns = rows(*[(f"s{k}", k, f"new task: number {k}") for k in range(60)])
+    turns += [dict(turns[0], audit_id="late", us=100, text="go on with it"), turns[5]]
+    got = fold(turns)
+    assert got[60]["run_id"] == got[0]["run_id"] and got[61] is None
+
+
 def test_batch_equals_stream(spark, tmp_path):
     turns = rows(("s", 0, "fix the parser tests"), ("s", MIN, "go on"), ("u", 100 * MIN, "plan the holiday trip"), ("s", 200 * MIN, "fix other things now"))
     turns += [dict(t, agent="b", audit_id="b" + t["audit_id"]) for t in turns]

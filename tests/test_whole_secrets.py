@@ -13,7 +13,7 @@ def test_whole_texts(spark, sf_dir, tmp_path):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spark.createDataFrame([(3, late), (7, "nothing here")], "doc_id long, text string").union(given.where("doc_id > 7")).write.parquet(f"{tmp_path}/documents.parquet")
     rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
-    got = {r.doc_id: (r.redacted, r.hit) for r in registry.queries()["fn24_whole_text_secrets"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.redacted, r.hit) for r in registry.queries()["fn24_preset_secrets"](spark, str(tmp_path)).collect()}
     secret = re.compile("|".join(T.PRESETS), re.ASCII)
     for r in rows:
         t = r.text + ADDED[r.doc_id % 4]

@@ -36,6 +36,12 @@ MODIFY_WORDS = ["write_file", "edit_file", "search_replace", "apply_patch", "cre
 ACCESS_WORDS = ["read_file", "list_dir", "glob_file_search", "file_search", "watch(", " cat ", '"cat ', "grep ", "head ", "tail ", "less ", "more ", "stat ", "open(", "readdir", "scandir", "pdftotext", "textutil", " find ", '"find ', " ls ", '"ls ', " ls-", '"ls-']
 FALLBACK_STATUS = [401, 403, 404, 408, 415, 429, 500, 502, 503, 504]
 CJK = "一-鿿㐀-䶿豈-﫿"
+#: Scripts that fragments are compared by and that masking keeps, as ranges.
+SCRIPT_CJK, SCRIPT_LATIN, SCRIPT_EURO = "一-鿿㐀-䶿぀-ヿ가-힯", "À-ɏ", "Ͱ-ӿ"
+KEPT = f"0-9{SCRIPT_CJK}{SCRIPT_LATIN}{SCRIPT_EURO}"
+#: What stands for each class; each belongs to its own class.
+MASKS = [("[0-9]", "7"), ("[A-Z]", "X"), ("[a-z]", "x"), (f"[{SCRIPT_CJK}]", "某"), (f"[{SCRIPT_LATIN}]", "é"), (f"[{SCRIPT_EURO}]", "ж")]
+MASK_OTHER = "ก"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -150,8 +156,8 @@ def token_estimate(c: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """Letters and ASCII digits only: what fragments are compared by."""
-    return F.regexp_replace(c, r"[^\p{L}0-9]", "")
+    """Letters, ASCII digits and all signs of the listed scripts: what fragments are compared by."""
+    return F.regexp_replace(c, rf"[^\p{{IsAlphabetic}}{KEPT}]", "")
 
 
 def token_profile(c: Column) -> Column:
@@ -190,5 +196,8 @@ def strong_fragment(matched: Column, index: Column, hay: Column, least: int = 65
 
 
 def mask(c: Column) -> Column:
-    """Each letter or digit by a fixed one of its class; other characters stay, so lengths and classes do."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "7"), f"[{CJK}]", "某"), r"\p{Lu}", "X"), r"\p{Ll}", "x")
+    """Each readable character by a fixed one of its class: digits, ASCII upper and lower case, CJK with kana and hangul, Latin
+    with marks, Greek and Cyrillic, all other letters. Others stay, so lengths and classes do."""
+    for pattern, sign in MASKS:
+        c = F.regexp_replace(c, pattern, sign)
+    return F.regexp_replace(c, rf"[\p{{IsAlphabetic}}&&[^A-Za-z{KEPT}]]", MASK_OTHER)

@@ -60,19 +60,6 @@ def most_specific(rules: DataFrame, path: str) -> DataFrame:
     return rules.join(above, F.col(path) == F.col("_above"), "left_anti")
 
 
-def token_set(texts: DataFrame) -> DataFrame:
-    """One row: the distinct Latin words of a protected file."""
-    return texts.select(F.explode(T.token_profile(F.col("text"))["latin"]).alias("w")).distinct().agg(F.collect_list("w").alias("file"))
-
-
-def prefilter(docs: DataFrame, doc_id: str, file: DataFrame) -> DataFrame:
-    """doc_id, skipped: nothing shared, or no shared word of 4 letters and less than half of either side."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), T.token_profile(F.col("text"))["latin"].alias("own")).join(F.broadcast(file))
-    both = F.array_intersect("own", "file")
-    long = F.exists(both, lambda x: F.length(x) >= 4)
-    return d.select("doc_id", ((F.size(both) == 0) | (~long & (F.size(both) * 2 < F.least(F.size("own"), F.size("file"))))).alias("skipped"))
-
-
 _CJK = "一-鿿㐀-䶿぀-ヿ가-힯"
 
 

@@ -16,7 +16,7 @@ def mask_ranges(text: Column, ranges: Column) -> Column:
     """`ranges` (array<struct<s, e>>, sorted, apart, from 0, without e) count normalised characters; each range is masked from its
     first character to its last, with what stands between. One pass over the text, however many ranges."""
     chars = F.split(text, "")
-    at = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}0-9]"), i + 1)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(rf"[\p{{IsAlphabetic}}{T.KEPT}]"), i + 1)), lambda i: i.isNotNull())
     part = lambda a, n: F.array_join(F.slice(chars, a, n), "")
     spans = F.transform(ranges, lambda r: F.struct(F.get(at, r["s"].cast("int")).alias("a"), F.get(at, (r["e"] - 1).cast("int")).alias("b")))
     begin = F.struct(F.lit(1).alias("k"), F.lit("").alias("out"))

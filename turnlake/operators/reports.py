@@ -8,27 +8,50 @@ from pyspark.sql import functions as F
 from turnlake.functions import text as T
 
 #: Summary limits and confidences by kind.
-LIMITS = {"goal": 240, "sub_goal": 240, "decision": 320, "result": 600, "reflection": 500}
-CONFIDENCE = {"goal": 0.85, "sub_goal": 0.75, "decision": 0.75, "result": 0.7, "reflection": 0.6}
+LIMITS = {"goal": 240, "sub_goal": 240, "decision": 320, "result": 600, "reflection": 500, "observation": 600, "arguments": 240}
+CONFIDENCE = {"goal": 0.85, "sub_goal": 0.75, "decision": 0.75, "result": 0.7, "reflection": 0.6, "action": 0.95, "observation": 0.9, "state_transition": 0.8}
+CALLS, RESULTS = "array<struct<name:string,arguments:string>>", "array<string>"
 
 
-def turn_events(messages: DataFrame, run: str, turn: str) -> DataFrame:
-    """run, turn, seq, kind, summary, confidence of plain messages: a user's goal or sub-goals; an assistant's decision, then result or reflection."""
-    t = F.col("text")
-    m = messages.where((F.trim(t) != "") & F.col("role").isin("user", "assistant"))
-    nth = F.row_number().over(Window.partitionBy(run, "role").orderBy(turn))
-    m = m.withColumn("nth", nth).withColumn("dec", T.decision(t)).withColumn("done", T.looks_like_result(t))
+def action(call: Column) -> Column:
+    """A tool call as name(arguments), the name by its use; without arguments the name alone."""
+    name, args = T.tool_name(call["name"], call["arguments"]), T.truncate(F.coalesce(call["arguments"], F.lit("")), LIMITS["arguments"])
+    return F.when(args == "", name).otherwise(F.concat(name, F.lit("("), args, F.lit(")")))
 
-    def event(kind: Column, summary: Column, sub: int) -> Column:
-        return F.struct(F.lit(sub).alias("sub"), kind.alias("kind"), summary.alias("summary"))
 
-    user = F.array(event(F.when(F.col("nth") == 1, "goal").otherwise("sub_goal"), T.truncate(F.trim(t), LIMITS["goal"]), 0))
-    said = F.array(
-        F.when(F.col("dec").isNotNull(), event(F.lit("decision"), F.col("dec"), 1)),
-        event(F.when(F.col("done"), "result").otherwise("reflection"), F.when(F.col("done"), T.truncate(t, LIMITS["result"])).otherwise(T.truncate(t, LIMITS["reflection"])), 2),
+def turn_events(messages: DataFrame, run: str, turn: str) -> DataFrame:
+    """run, turn, seq, kind, summary, confidence of messages (role, text; tool_calls, tool_results and response if there).
+
+    A message of the request gives a user's goal or sub-goal, its calls' actions, its results' observations, an assistant's
+    decision. The response (an assistant's message, unless `response` says otherwise) gives a decision, a result or else,
+    without calls, a reflection, and each call's action and the state that it enters."""
+    t = F.coalesce("text", F.lit(""))
+    has = messages.columns
+    calls = F.coalesce("tool_calls", F.array().cast(CALLS)) if "tool_calls" in has else F.array().cast(CALLS)
+    results = F.coalesce("tool_results", F.array().cast(RESULTS)) if "tool_results" in has else F.array().cast(RESULTS)
+    said = F.coalesce("response", F.lit(False)) if "response" in has else F.col("role") == "assistant"
+    m = messages.select(run, turn, "role", t.alias("text"), calls.alias("calls"), results.alias("results"), said.alias("said"))
+    t = F.col("text")
+    asks = (F.col("role") == "user") & (F.trim(t) != "") & ~F.col("said")
+    nth = F.sum(asks.cast("int")).over(Window.partitionBy(run).orderBy(turn, "said").rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("asks", asks).withColumn("nth", nth).withColumn("dec", T.decision(t)).withColumn("done", T.looks_like_result(t))
+
+    def event(kind: Column | str, summary: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), summary.alias("summary"))
+
+    none = F.array().cast("array<struct<kind:string,summary:string>>")
+    acts = F.transform("calls", lambda c: event("action", action(c)))
+    request = F.concat(
+        F.when(F.col("asks"), F.array(event(F.when(F.col("nth") == 1, "goal").otherwise("sub_goal"), T.truncate(F.trim(t), LIMITS["goal"])))).otherwise(none),
+        acts, F.transform("results", lambda r: event("observation", T.truncate(r, LIMITS["observation"]))),
+        F.when((F.col("role") == "assistant") & F.col("dec").isNotNull(), F.array(event("decision", F.col("dec")))).otherwise(none),
     )
-    e = m.select(run, turn, F.explode(F.array_compact(F.when(F.col("role") == "user", user).otherwise(said))).alias("e"))
-    seq = (F.row_number().over(Window.partitionBy(run).orderBy(turn, "e.sub")) - 1).cast("long")
+    enters = F.flatten(F.transform("calls", lambda c: F.array(event("action", action(c)), F.when(T.tool_state(c["name"], c["arguments"]).isNotNull(), event("state_transition", T.tool_state(c["name"], c["arguments"]))))))
+    ends = F.when(F.col("done"), event("result", T.truncate(t, LIMITS["result"]))).when(F.size("calls") == 0, event("reflection", T.truncate(t, LIMITS["reflection"])))
+    words = F.when(F.trim(t) != "", F.array(F.when(F.col("dec").isNotNull(), event("decision", F.col("dec"))), ends)).otherwise(none)
+    response = F.concat(words, enters)
+    e = m.select(run, turn, "said", F.posexplode(F.array_compact(F.when(F.col("said"), response).otherwise(request))).alias("sub", "e"))
+    seq = (F.row_number().over(Window.partitionBy(run).orderBy(turn, "said", "sub")) - 1).cast("long")
     conf = F.create_map(*[F.lit(x) for p in CONFIDENCE.items() for x in p])
     return e.withColumn("seq", seq).select(run, turn, "seq", "e.kind", "e.summary", conf[F.col("e.kind")].alias("confidence"))
 

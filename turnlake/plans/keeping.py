@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from turnlake.operators import keeping, leakscan
+from turnlake.plans.leaks import FRAGMENTS
+from turnlake.plans.texts import NORM
 from turnlake.registry import query
 from turnlake.sources import files
 from turnlake.sources.tables import RUNS_SQL, events, numbered, read, runs
@@ -60,7 +62,7 @@ def sk17(spark, sf_dir):
     return spark.createDataFrame([("daily", ",".join(due), keeping.get_metadata(spark, path, "daily"))], "key string, due string, value string")
 
 
-@query("ca12_fn46_index_generations", r"""with b as (select item_id, regexp_replace(text, '[^\p{L}0-9]', '', 'g') t from benchmark) select item_id::varchar path, cast(length(t) - 32 as bigint) places from b where length(t) >= 65""")
+@query("ca12_fn46_index_generations", f"""with b as (select item_id, {NORM.format('text')} t from benchmark) select item_id::varchar path, cast(length(t) - 32 as bigint) places from b where length(t) >= 65""")
 def ca12(spark, sf_dir):
     """The second build meets half of its files in the first one, and hashes only the others."""
     path = files.scratch(spark, "index")
@@ -70,7 +72,7 @@ def ca12(spark, sf_dir):
     return keeping.index(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("places"))
 
 
-@query("ca12_indexed_leak_scan")
+@query("ca12_indexed_leak_scan", FRAGMENTS + " select distinct doc_id, item_id::varchar path from x join w using (f)")
 def scan(spark, sf_dir):
     """Documents and files by the index, verified; equals the scan without an index (tested)."""
     path = files.scratch(spark, "index")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnlake.operators import leakscan, sequences
+from turnlake.plans.texts import NORM
 from turnlake.registry import query
 from turnlake.sources.tables import read
 
-FRAGMENTS = r"""with d as (select doc_id, regexp_replace(text, '[^\p{L}0-9]', '', 'g') t from documents), b as (select item_id, regexp_replace(text, '[^\p{L}0-9]', '', 'g') t from benchmark),
+FRAGMENTS = f"""with d as (select doc_id, {NORM.format('text')} t from documents), b as (select item_id, {NORM.format('text')} t from benchmark),
 w as (select distinct item_id, substr(t, cast(i as bigint), 65) f from (select item_id, t, unnest(range(1, length(t) - 63)) i from b)), x as (select distinct doc_id, substr(t, cast(i as bigint), 65) f from (select doc_id, t, unnest(range(1, length(t) - 63)) i from d))"""
 
 
@@ -18,17 +19,19 @@ def jn6(spark, sf_dir):
     return found.select("doc_id", "item_id").distinct()
 
 
-@query("ca11_so5_leaked_ranges")
+@query("ca11_so5_leaked_ranges", FRAGMENTS.split("x as")[0] + """x as (select doc_id, i - 1 s, substr(t, cast(i as bigint), 65) f from (select doc_id, t, unnest(range(1, length(t) - 63)) i from d)),
+m as (select distinct doc_id, s, s + 65 e from x semi join w using (f)), g as (select *, sum(n) over (partition by doc_id order by s) k from (select *, case when s > lag(e) over (partition by doc_id order by s) then 1 else 0 end n from m))
+select doc_id, cast(min(s) as bigint) s, cast(max(e) as bigint) e from g group by doc_id, k""")
 def ca11(spark, sf_dir):
     """Ranges of a document's normalised text that a protected item holds, at least 65 characters each, merged."""
     found = leakscan.shared_fragments(read(spark, sf_dir, "documents"), "doc_id", read(spark, sf_dir, "benchmark"), "item_id")
-    return sequences.merge_ranges(found.select("doc_id", "s", "e"), ["doc_id"])
+    return sequences.merge_ranges(found.select("doc_id", "s", "e"), ["doc_id"]).select("doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
 @query("jn7_literal_needles", "select doc_id, n_name, cast((length(text) - length(replace(text, substr(n_name, 1, 3), ''))) / 3 as bigint) hits from documents, nation where contains(text, substr(n_name, 1, 3))")
 def jn7(spark, sf_dir):
     """Each literal against each text; the 25 literals are folded into one array, so texts aren't joined with rules."""
-    needles = read(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(1000)
+    needles = read(spark, sf_dir, "nation").select("n_name")
     return leakscan.literals(read(spark, sf_dir, "documents"), "doc_id", needles.select("n_name", F.substring("n_name", 1, 3).alias("needle")), "n_name")
 
 
@@ -38,17 +41,15 @@ def jn8(spark, sf_dir):
     return leakscan.most_specific(m, "p")
 
 
-@query("fn22_token_prefilter", r"""with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-ɏ]+')) t from documents), b as (select list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-zà-ɏ]+')))) t from benchmark where item_id < 3)
-select doc_id, (len(list_intersect(d.t, b.t)) = 0 or (len(list_filter(list_intersect(d.t, b.t), lambda x: length(x) >= 4)) = 0 and len(list_intersect(d.t, b.t)) * 2 < least(len(d.t), len(b.t)))) skipped from d, b""")
-def fn22(spark, sf_dir):
-    file = leakscan.token_set(read(spark, sf_dir, "benchmark").where("item_id < 3"))
-    return leakscan.prefilter(read(spark, sf_dir, "documents"), "doc_id", file)
+_TOKENS = "list_distinct(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[" + leakscan._CJK + "]|[0-9a-zÀ-ɏ]+'))"
+_OTHER = "regexp_matches({}, '[^\\P{{L}}A-Za-zÀ-ɏ" + leakscan._CJK + "]')"
 
 
-@query("fn22_item_prefilter")
-def fn22_items(spark, sf_dir):
-    """Each document against every protected item, with the guards on other scripts, CJK tokens and empty sets, which
-    fn22_token_prefilter and its SQL (three items as one file) lack."""
+@query("fn22_token_prefilter", f"""with d as (select doc_id, {_TOKENS.format('text')} t, {_OTHER.format('text')} o from documents), b as (select distinct {_TOKENS.format('text')} t, {_OTHER.format('text')} o from benchmark),
+p as (select doc_id, list_intersect(d.t, b.t) s, d.o or b.o or len(d.t) = 0 or len(b.t) = 0 a, least(len(d.t), len(b.t)) n from d, b)
+select doc_id, bool_and(not a and (len(s) = 0 or (len(list_filter(s, lambda x: length(x) >= 4)) = 0 and len(s) * 2 < n))) skipped from p group by doc_id""")
+def fn22(spark, sf_dir):
+    """Each document against every protected item, with the guards on other scripts, CJK tokens and empty sets."""
     return leakscan.item_prefilter(read(spark, sf_dir, "documents"), "doc_id", read(spark, sf_dir, "benchmark"))
 
 

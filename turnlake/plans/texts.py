@@ -72,9 +72,15 @@ def fn7(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 240).alias("short"))
 
 
-@query("fn17_normalised_text", r"select doc_id, md5(regexp_replace(text, '[^\p{L}0-9]', '', 'g')) norm from documents")
+#: The same for DuckDB, whose expressions know no alphabetic property.
+NORM = rf"regexp_replace({{}}, '[^\p{{{{L}}}}\p{{{{Nl}}}}{T.KEPT}]', '', 'g')"
+#: A line of every script, so that each class is met.
+_SCRIPTS = "text || ' かな カタカナ ー 한글 مرحبا שלום ไทย Ωμέγα Жук × ÷ ß Ł ª ' || cast(doc_id as {})"
+
+
+@query("fn17_normalised_text", f"select doc_id, md5({NORM.format(_SCRIPTS.format('varchar'))}) norm from documents")
 def fn17(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalised(F.col("text"))).alias("norm"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalised(F.expr(_SCRIPTS.format("string")))).alias("norm"))
 
 
 @query("ag15_token_profiles", r"select doc_id, md5(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ɏ]+'))), ',')) latin, cast(len(list_distinct(regexp_extract_all(text, '[一-鿿㐀-䶿぀-ヿ가-힯]'))) as bigint) cjk from documents")
@@ -90,7 +96,7 @@ def sc8(spark, sf_dir):
 
 
 _SECRET = "case doc_id % 4 when 0 then ' sk-' || repeat('a1', 12) when 1 then ' AKIA' || repeat('Z9', 8) when 2 then ' ghp_' || repeat('q', 25) else '' end"
-_WITH_SECRET = f"left(text, 200) || {_SECRET}"
+_WITH_SECRET = f"text || {_SECRET}"
 
 
 @query("fn24_preset_secrets", f"select doc_id, regexp_replace({_WITH_SECRET}, '{'|'.join(T.PRESETS)}', '[secret]', 'g') redacted, regexp_matches({_WITH_SECRET}, '{'|'.join(T.PRESETS)}') hit from documents")
@@ -99,17 +105,15 @@ def fn24(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, "|".join(T.PRESETS), "[secret]").alias("redacted"), t.rlike("|".join(T.PRESETS)).alias("hit"))
 
 
-@query("fn24_whole_text_secrets")
-def fn24_whole(spark, sf_dir):
-    """Secrets anywhere in a document: the whole text, where fn24_preset_secrets and its SQL take the first 200 characters."""
-    t = F.expr(f"text || {_SECRET}")
-    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(t, "|".join(T.PRESETS), "[secret]").alias("redacted"), t.rlike("|".join(T.PRESETS)).alias("hit"))
+_MASKED = _SCRIPTS.format("varchar")
+for _p, _m in T.MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_p}', '{_m}', 'g')"
 
 
-@query("fn23_class_masking")
+@query("fn23_class_masking", rf"select doc_id, regexp_replace({_MASKED}, '[^\P{{L}}A-Za-z{T.KEPT}]', '{T.MASK_OTHER}', 'g') masked from documents")
 def fn23(spark, sf_dir):
     """Deterministic masking of each class; lengths stay."""
-    return read(spark, sf_dir, "documents").select("doc_id", T.mask(F.col("text")).alias("masked"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.mask(F.expr(_SCRIPTS.format("string"))).alias("masked"))
 
 
 @query("fn25_vault_tokens", """with s as (select event_id, user_id, event_type || '-' || cast(floor(value) as bigint) % 5 secret, row_number() over (partition by user_id order by ts, event_id) n from events),

@@ -20,8 +20,13 @@ LEGACY = r"^(\d{8}T\d{6})_(.+).{9}$"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local temporary folder only where that isn't set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path below spark.checkpoint.dir. Unset, a temporary folder serves a local master (tests); a cluster must name one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
