@@ -27,6 +27,17 @@ def graphs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("run").agg(F.max_by("graph", F.struct("written", "graph")).alias("graph"))
 
 
+def put_reports(rows: DataFrame, key: str, path: str) -> None:
+    """Appends one JSON payload a key; the last one written counts, so a report is replaced without touching the others."""
+    rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("payload"), F.current_timestamp().alias("written")).write.mode("append").parquet(path)
+
+
+def reports(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The columns of `schema` of each key's last payload."""
+    last = spark.read.parquet(path).groupBy("key").agg(F.max_by("payload", F.struct("written", "payload")).alias("payload"))
+    return last.select(F.from_json("payload", schema).alias("r")).select("r.*")
+
+
 def put_metadata(spark: SparkSession, folder: str, key: str, value: str) -> None:
     files.put(spark, f"{folder}/{key}.json", json.dumps({"key": key, "value": value}))
 
