@@ -109,12 +109,17 @@ def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.
         own = keys(np.floor((wide @ a[t] + b[t]) / w))
         by = np.argsort(own, kind="stable")
         buckets.append((own[by], by))
-    ends = [(np.searchsorted(own, probe_keys[t], "left"), np.searchsorted(own, probe_keys[t], "right")) for t, (own, _) in enumerate(buckets)]
+    entries = np.concatenate([by for _, by in buckets])
     for i in range(len(queries)):
-        spans = [by[s:e] for (lo, hi), (_, by) in zip(ends, buckets) for s, e in zip(lo[:, i].tolist(), hi[:, i].tolist()) if e > s]
-        if not spans:
+        if i % 256 == 0:  # the buckets' bounds in `entries`, for some queries at a time
+            tried = probe_keys[:, :, i : i + 256]
+            lo, hi = (np.stack([np.searchsorted(own, tried[t], side) + t * len(rows) for t, (own, _) in enumerate(buckets)]) for side in ("left", "right"))
+            size = hi - lo
+        a, n = lo[:, :, i % 256].ravel(), size[:, :, i % 256].ravel()
+        a, n = a[n > 0], n[n > 0]
+        if not len(n):
             continue
-        found = np.unique(np.concatenate(spans))
+        found = np.unique(entries[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())])
         rough = rows[found] @ queries[i]
         if len(found) > 2 * k + 2:
             found = found[np.argpartition(-rough, 2 * k + 1)[: 2 * k + 2]]
