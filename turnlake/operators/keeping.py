@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as T
-from turnlake.operators.leakscan import LEAST, manifest_split
+from turnlake.operators.leakscan import LEAST, manifest_split, places
 from turnlake.sources import files
 
 
@@ -68,8 +68,7 @@ def windows(corpus: DataFrame, least: int = LEAST) -> DataFrame:
     """path, h: a hash for each place's window of (least + 1) / 2 normalised characters."""
     w = (least + 1) // 2
     t = corpus.select("path", T.normalised(F.col("text")).alias("t")).where(F.length("t") >= least)
-    at = t.select("path", "t", F.explode(F.sequence(F.lit(1), F.length("t") - w + 1)).alias("k"))
-    return at.select("path", F.xxhash64(F.substring(F.col("t"), F.col("k"), F.lit(w))).alias("h"))
+    return places(t, "path", "t", w, 1, 0).select("path", F.xxhash64(F.substring(F.col("part"), F.col("rel") + 1, F.lit(w))).alias("h"))
 
 
 def generation(spark: SparkSession, folder: str) -> int:
@@ -107,5 +106,5 @@ def candidates(docs: DataFrame, doc_id: str, rows: DataFrame, least: int = LEAST
     the document's windows (one at every w-th place) whole, so none is missed; `leakscan.shared_fragments` verifies."""
     w = (least + 1) // 2
     d = docs.select(F.col(doc_id).alias("doc_id"), T.normalised(F.col("text")).alias("t")).where(F.length("t") >= least)
-    d = d.select("doc_id", "t", F.explode(F.sequence(F.lit(1), F.length("t") - w + 1, F.lit(w))).alias("k"))
-    return d.select("doc_id", F.xxhash64(F.substring(F.col("t"), F.col("k"), F.lit(w))).alias("h")).join(rows.distinct(), "h").select("doc_id", "path").distinct()
+    d = places(d, "doc_id", "t", w, w, 0)
+    return d.select("doc_id", F.xxhash64(F.substring(F.col("part"), F.col("rel") + 1, F.lit(w))).alias("h")).join(rows.distinct(), "h").select("doc_id", "path").distinct()

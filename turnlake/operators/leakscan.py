@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from turnlake.functions import text as T
 
 LEAST = 65
+#: Windows of a part that is scanned as one text.
+SPAN = 32
 
 
 def shared_fragments(docs: DataFrame, doc_id: str, corpus: DataFrame, item_id: str, least: int = LEAST) -> DataFrame:
@@ -18,12 +20,10 @@ def shared_fragments(docs: DataFrame, doc_id: str, corpus: DataFrame, item_id: s
     window's hash, and every candidate is verified and extended to its full length on both sides."""
     w = (least + 1) // 2
     d = docs.select(F.col(doc_id).alias("doc_id"), T.normalised(F.col("text")).alias("t")).where(F.length("t") >= least)
-    d = d.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.length("t") - w, F.lit(w))).alias("at"))
     # Only the block's surroundings travel: what lies within `least` of it decides whether it is part of a long enough range.
-    d = d.select("doc_id", "at", F.xxhash64(F.substring(F.col("t"), F.col("at") + 1, F.lit(w))).alias("h"), _around("t", F.col("at"), w, least).alias("x"))
+    d = places(d, "doc_id", "t", w, w, least).select("doc_id", "at", F.xxhash64(F.substring(F.col("part"), F.col("rel") + 1, F.lit(w))).alias("h"), _around("part", F.col("rel"), w, least).alias("x"))
     b = corpus.select(F.col(item_id).alias("item_id"), T.normalised(F.col("text")).alias("u")).where(F.length("u") >= least)
-    b = b.select("item_id", "u", F.explode(F.sequence(F.lit(0), F.length("u") - w)).alias("bt"))
-    b = b.select("item_id", F.xxhash64(F.substring(F.col("u"), F.col("bt") + 1, F.lit(w))).alias("h"), _around("u", F.col("bt"), w, least).alias("y"))
+    b = places(b, "item_id", "u", w, 1, least).select("item_id", F.xxhash64(F.substring(F.col("part"), F.col("rel") + 1, F.lit(w))).alias("h"), _around("part", F.col("rel"), w, least).alias("y"))
     j = d.join(b, "h")
     same = F.sequence(F.lit(1), F.lit(least))
     left = _run(same, F.reverse(F.col("x.l")), F.reverse(F.col("y.l")))
@@ -32,6 +32,21 @@ def shared_fragments(docs: DataFrame, doc_id: str, corpus: DataFrame, item_id: s
     return j.select("doc_id", "item_id", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + w + F.col("r")).alias("e")).distinct()
 
 
+def places(rows: DataFrame, key: str, text: str, w: int, step: int, least: int) -> DataFrame:
+    """key, at, part, rel: every step-th place of a window of `w` characters, as place `rel` of a part of the text that reaches
+    `least` characters beyond the window on both sides where the text does.
+
+    A substring is found by walking its text from the start, so the text is first cut into parts of SPAN windows, and the
+    walks for the places are as long as a part. `step` must divide w."""
+    span = SPAN * w
+    n = F.length(text)
+    d = rows.select(key, text, n.alias("n"), F.explode(F.sequence(F.lit(0), n - w, F.lit(span))).alias("base"))
+    lead = F.least(F.col("base"), F.lit(least))
+    d = d.select(key, "n", "base", lead.alias("lead"), F.substring(F.col(text), F.col("base") - lead + 1, lead + span + w + least).alias("part"))
+    d = d.select(key, "base", "lead", "part", F.explode(F.sequence(F.col("base"), F.least(F.col("base") + span - step, F.col("n") - w), F.lit(step))).alias("at"))
+    return d.select(key, "at", "part", (F.col("at") - F.col("base") + F.col("lead")).alias("rel"))
+
+
 def _around(text: str, at: Column, w: int, least: int) -> Column:
     t, start = F.col(text), F.greatest(F.lit(0), at - least)
     return F.struct(F.substring(t, start + 1, at - start).alias("l"), F.substring(t, at + 1, F.lit(w)).alias("m"), F.substring(t, at + w + 1, F.lit(least)).alias("r"))

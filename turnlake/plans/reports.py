@@ -71,7 +71,15 @@ def sk14(spark, sf_dir):
     return reports.markdown(reports.daily(sequences.by_day(runs(spark, sf_dir)))).select("day_no", "body")
 
 
-@query("sk15_daily_html")
+def _tile(name: str) -> str:
+    return f"'<div class=tile><b>' || {name} || '</b> {name}</div>'"
+
+
+def _bar(name: str) -> str:
+    return f"'<i class={name} style=''width:' || ({name} * 100 // greatest(1, runs)) || '%''></i>'"
+
+
+@query("sk15_daily_html", f"{DAILY} select day_no, '<section>' || {' || '.join(map(_tile, ('agents', 'runs', 'turns', 'tokens')))} || '<div class=bar>' || {' || '.join(map(_bar, ('completed', 'running', 'failed')))} || '</div></section>' body from f")
 def sk15(spark, sf_dir):
     """Escaped HTML with tiles and a bar of statuses; one row a day."""
     return reports.html(reports.daily(sequences.by_day(runs(spark, sf_dir))))
