@@ -68,8 +68,8 @@ def test_sse_round_trip(spark):
 
 
 def test_paths_masks_keywords(spark):
-    df = spark.createDataFrame([("C:\\a\\\\b\\", "Ab9某!"), ("//s/x//y/", ""), ("/", "ñ")], "p string, t string")
+    df = spark.createDataFrame([("C:\\a\\\\b\\", "Ab9某!"), ("//s/x//y/", ""), ("/", "ñ"), ("a", "かカー한 Жω ไع ×!")], "p string, t string")
     got = df.select(text.clean_path(F.col("p")).alias("p"), text.mask(F.col("t")).alias("m")).collect()
-    assert [r.p for r in got] == ["C:/a/b", "//s/x/y", "/"] and [r.m for r in got] == ["Xx7某!", "", "x"]
+    assert [r.p for r in got] == ["C:/a/b", "//s/x/y", "/", "a"] and [r.m for r in got] == ["Xx7某!", "", "é", "某某某某 жж กก é!"]
     k = spark.createDataFrame([("新任务开始 Fix the BUG",)], "t string").select(text.keywords(F.col("t"))).first()[0]
     assert set(k) >= {"fix", "the", "bug", "任务"}
