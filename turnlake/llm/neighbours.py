@@ -95,6 +95,23 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
+def _ranked(found: np.ndarray, scores: np.ndarray, sorted_ids: np.ndarray, starts: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k (vec_ids, scores) of some distinct vectors, each with its ids ascending in `sorted_ids`; the query's own id is none."""
+    lo, hi = starts[found], starts[found + 1]
+    if len(found) and (hi - lo).max() > 1:
+        lists = []
+        for first, last in zip(lo, hi):
+            same = sorted_ids[first:last]
+            at, past = np.searchsorted(same, own, "left"), np.searchsorted(same, own, "right")
+            lists.append(np.concatenate([same[: min(at, k)], same[past : past + k]])[:k])
+        got_ids, got = np.concatenate(lists), np.repeat(scores, [len(x) for x in lists])
+    else:
+        got_ids, got = sorted_ids[lo], scores
+        got_ids, got = got_ids[got_ids != own], got[got_ids != own]
+    best = np.lexsort((got_ids, -got))[:k]
+    return got_ids[best], got[best]
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.ndarray, queries: np.ndarray, probe_keys: np.ndarray, hashed: tuple, k: int) -> Iterator[tuple]:
     """(query's place, vec_ids, scores) of the best k candidates of this shard for each query that has any. The work for a query
     is in its probes and candidates, not in the shard's rows."""
@@ -109,30 +126,27 @@ def search_shard(ids: np.ndarray, x: np.ndarray, top_norm: float, query_ids: np.
         own = keys(np.floor((wide @ a[t] + b[t]) / w))
         by = np.argsort(own, kind="stable")
         buckets.append((own[by], by))
-    entries = np.concatenate([by for _, by in buckets])
+    entries, sorted_ids, marked = np.concatenate([by for _, by in buckets]), ids[order], np.zeros(len(rows), bool)
     for i in range(len(queries)):
         if i % 256 == 0:  # the buckets' bounds in `entries`, for some queries at a time
-            tried = probe_keys[:, :, i : i + 256]
-            lo, hi = (np.stack([np.searchsorted(own, tried[t], side) + t * len(rows) for t, (own, _) in enumerate(buckets)]) for side in ("left", "right"))
+            block = probe_keys[:, :, i : i + 256]
+            lo, hi = (np.stack([np.searchsorted(own, block[t], side) + t * len(rows) for t, (own, _) in enumerate(buckets)]) for side in ("left", "right"))
             size = hi - lo
         a, n = lo[:, :, i % 256].ravel(), size[:, :, i % 256].ravel()
         a, n = a[n > 0], n[n > 0]
         if not len(n):
             continue
-        found = np.unique(entries[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        tried = entries[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        if 8 * len(tried) < len(rows):
+            found = np.unique(tried)
+        else:  # marking rows costs less than sorting candidates
+            marked[tried] = True
+            found = np.flatnonzero(marked)
+            marked[found] = False
         rough = rows[found] @ queries[i]
         if len(found) > 2 * k + 2:
             found = found[np.argpartition(-rough, 2 * k + 1)[: 2 * k + 2]]
-        exact = _exact(rows[found], queries[i])
-        got_ids, got = [], []
-        for j, s in zip(found, exact):
-            same = ids[order[starts[j] : starts[j + 1]]]
-            same = same[same != query_ids[i]][: k] if len(same) else same
-            got_ids.append(same)
-            got.append(np.full(len(same), s))
-        got_ids, got = np.concatenate(got_ids), np.concatenate(got)
-        best = np.lexsort((got_ids, -got))[:k]
-        yield i, got_ids[best], got[best]
+        yield i, *_ranked(found, _exact(rows[found], queries[i]), sorted_ids, starts, query_ids[i], k)
 
 
 def search_exact(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
@@ -140,20 +154,12 @@ def search_exact(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     rows, inverse = np.unique(x, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
     order = np.lexsort((ids, inverse))
-    starts = np.searchsorted(inverse[order], np.arange(len(rows) + 1))
+    starts, sorted_ids = np.searchsorted(inverse[order], np.arange(len(rows) + 1)), ids[order]
     for at in range(0, len(queries), 256):
         rough = queries[at : at + 256] @ rows.T
         for i in range(len(rough)):
             found = np.argpartition(-rough[i], 2 * k + 1)[: 2 * k + 2] if len(rows) > 2 * k + 2 else np.arange(len(rows))
-            got_ids, got = [], []
-            for j, s in zip(found, _exact(rows[found], queries[at + i])):
-                same = ids[order[starts[j] : starts[j + 1]]]
-                same = same[same != query_ids[at + i]][:k]
-                got_ids.append(same)
-                got.append(np.full(len(same), s))
-            got_ids, got = np.concatenate(got_ids), np.concatenate(got)
-            best = np.lexsort((got_ids, -got))[:k]
-            yield at + i, got_ids[best], got[best]
+            yield at + i, *_ranked(found, _exact(rows[found], queries[at + i]), sorted_ids, starts, query_ids[at + i], k)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
