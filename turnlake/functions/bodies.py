@@ -30,17 +30,6 @@ def delta(rows: DataFrame, seen: str) -> DataFrame:
     return m.select(*keys, F.col("pos").cast("long").alias("pos"), "m.role", "m.content")
 
 
-def fields(rows: DataFrame) -> DataFrame:
-    """Every text field with its pointer: message contents, then tool-call arguments."""
-    keys = [c for c in rows.columns if c not in ("messages", "body", "tools")]
-    m = rows.select(*keys, F.posexplode("messages").alias("msg", "m"))
-    own = F.array(F.struct(F.lit("content").alias("pointer"), F.lit(0).alias("sub"), F.col("m.content").alias("text")))
-    calls = F.transform(F.coalesce("m.tool_calls", F.array().cast(f"array<{CALL}>")), lambda c, i: F.struct(F.lit("tool_arguments").alias("pointer"), i.alias("sub"), c["function"]["arguments"].alias("text")))
-    f = m.select(*keys, "msg", F.col("m.role").alias("role"), F.explode(F.concat(own, calls)).alias("f")).where("f.text is not null")
-    tool = (F.col("f.pointer") == "tool_arguments") | (F.col("role") == "tool")
-    return f.select(*keys, "msg", "role", "f.pointer", "f.sub", "f.text", tool.alias("tool_related"), F.col("role").isin("user", "system", "tool").alias("model_input"))
-
-
 def _number(c: Column, base: str, names: list[str]) -> Column:
     found = [F.get_json_object(c, f"{base}.{n}").try_cast("long") for n in names]
     return F.greatest(F.lit(0).cast("long"), F.coalesce(*found, F.lit(0).cast("long")))

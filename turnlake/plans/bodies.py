@@ -30,12 +30,6 @@ def pf3(spark, sf_dir):
     return B.delta(r, "seen").select("conv_id", "pos", "role", F.md5("content").alias("m"))
 
 
-@query("pf5_pf7_pf8_fields", "select role, count(*) n, cast(sum(length(text)) as bigint) chars, role in ('user', 'system', 'tool') model_input, role = 'tool' tool_related from conversations group by 1")
-def pf5(spark, sf_dir):
-    f = B.fields(B.parse_requests(requests(spark, sf_dir), "body"))
-    return f.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.bool_or("model_input").alias("model_input"), F.bool_or("tool_related").alias("tool_related"))
-
-
 USAGE = """case event_id % 4 when 0 then '{"usage":{"prompt_tokens":' || event_id || ',"completion_tokens":5}}' when 1 then '{"message":{"usage":{"input_tokens":3,"output_tokens":' || event_id || '}}}'
   when 2 then '{"usageMetadata":{"promptTokenCount":7,"candidatesTokenCount":2,"totalTokenCount":' || event_id || '}}' else '{"id":1}' end"""
 
@@ -83,13 +77,15 @@ def fn34(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", folded.alias("content"), folded.isNotNull().alias("kept"))
 
 
-@query("fn35_completion_to_sse")
+@query("fn35_completion_to_sse", """select conv_id, turn, array_to_string(list_transform(range(0, cast(greatest(0, floor((length(text) - 1) / 256)) as bigint) + 1),
+  lambda k: 'data: {"choices":[{"delta":{"content":' || to_json(substring(text, k * 256 + 1, 256)) || '},"index":0}]}'), chr(10) || chr(10)) || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) lines from conversations""")
 def fn35(spark, sf_dir):
     """Whole texts as stream lines; reading them again gives the text (tested)."""
     return turns(spark, sf_dir).select("conv_id", "turn", B.to_sse(F.col("text")).alias("lines"))
 
 
-@query("fn32_protocol_conversion")
+@query("fn32_protocol_conversion", """select conv_id, '{"model":"m-' || conv_id % 3 || '"' || coalesce(',"system":' || to_json(nullif(string_agg(text, chr(10) order by turn) filter (role = 'system'), '')), '')
+  || ',"messages":[' || coalesce(string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' order by turn) filter (role <> 'system'), '') || '],"max_tokens":4096,"stream":' || (conv_id % 2 = 0) || '}' body from conversations group by conv_id""")
 def fn32(spark, sf_dir):
     """Requests to the other protocol's shape: the system message moves out of the messages."""
     return requests(spark, sf_dir).select("conv_id", B.to_anthropic(F.col("body")).alias("body"))

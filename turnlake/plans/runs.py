@@ -101,15 +101,33 @@ def wn4(spark, sf_dir):
     return sequences.parallel(s, ["user_id", "day_no"], "seq", "event_type", "hour", "click").select("event_id", "parallel")
 
 
-@query("wn5_ca3_reasoning_graph")
+KINDS = {"signup": "goal", "view": "observation", "click": "action", "purchase": "result", "error": "decision"}
+#: The steps as a table that a recursive query reads once a level.
+LEVELS_SQL = STEPS_SQL.replace("with ", "with recursive ", 1).replace("steps as (", "steps as materialized (")
+KINDS_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in KINDS.items()) + " end"
+
+
+@query("wn5_ca3_reasoning_graph", f"""{LEVELS_SQL}, t as materialized (select user_id, day_no, seq, {KINDS_SQL} k, us // 3600000000 a from steps),
+g as (select user_id, day_no, cast(-1 as bigint) seq, cast(null as bigint) root, cast(null as bigint) chain, cast(null as bigint) dec, cast(null as bigint) act, cast(null as bigint) up, '' k, cast(-1 as bigint) a, cast(null as bigint) parent, '' label from t where seq = 0
+  union all select user_id, day_no, seq, case when k in ('goal', 'sub_goal') then seq else root end, case when k = 'action' then chain else seq end, case when k = 'decision' then seq when k in ('action', 'state_transition') then dec end,
+    case when k = 'action' then seq when k in ('goal', 'sub_goal', 'decision') then null else act end, case when k = 'action' then parent when k in ('goal', 'sub_goal', 'observation') then null else up end, k, a, parent,
+    case when k = 'sub_goal' then 'sub-goal' when k = 'decision' then 'decides' when twin then 'acts' when k = 'action' then case when dec is not null then 'executes' else 'acts' end when k = 'observation' then 'observes'
+      when k = 'state_transition' then 'enters' when k = 'result' then 'results in' else 'reflects' end
+  from (select *, case when k = 'sub_goal' then root when k = 'goal' then null when k = 'decision' then coalesce(act, dec, chain) when twin then up when k = 'action' then coalesce(dec, chain, act)
+      when k in ('observation', 'state_transition') then coalesce(act, chain) else coalesce(chain, act, dec) end parent
+    from (select t.*, g.root, g.chain, g.dec, g.act, g.up, t.k = 'action' and g.k = 'action' and g.a = t.a twin from g join t on t.user_id = g.user_id and t.day_no = g.day_no and t.seq = g.seq + 1)))
+select user_id, day_no, cast(seq as integer) node, cast(parent as integer) parent, label from g where parent is not null and parent <> seq""")
 def wn5(spark, sf_dir):
-    """Edges of each user-day's reasoning graph; event types stand for kinds. The fold has no SQL form: tests compare with a loop."""
-    kind = F.create_map(*[F.lit(x) for p in {"signup": "goal", "view": "observation", "click": "action", "purchase": "result", "error": "decision"}.items() for x in p])
+    """Edges of each user-day's reasoning graph; event types stand for kinds. The SQL goes through the levels of a recursive query."""
+    kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])
     s = steps(spark, sf_dir).withColumn("kind", kind[F.col("event_type")]).withColumn("audit", F.expr("us div 3600000000"))
     return sequences.graph_edges(s, ["user_id", "day_no"], "seq", "kind", "audit")
 
 
-@query("wn6_token_batches")
+@query("wn6_token_batches", f"""{LEVELS_SQL}, t as materialized (select user_id, day_no, seq, cast(floor(value) as bigint) c from steps),
+b as (select user_id, day_no, seq, 0 batch, c used from t where seq = 0
+  union all select t.user_id, t.day_no, t.seq, case when b.used > 0 and b.used + t.c > 120 then b.batch + 1 else b.batch end, case when b.used > 0 and b.used + t.c > 120 then t.c else b.used + t.c end
+  from b join t on t.user_id = b.user_id and t.day_no = b.day_no and t.seq = b.seq + 1) select user_id, day_no, seq, batch from b""")
 def wn6(spark, sf_dir):
     """Batches of an agent's event lines by a token limit: a greedy fold, tested against a loop."""
     s = steps(spark, sf_dir).withColumn("cost", F.floor("value").cast("long"))

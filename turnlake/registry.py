@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-PLANS = ["runs", "texts", "leaks", "policy", "upkeep", "bodies", "reports", "assembly", "shell", "gates", "lines", "keeping", "redaction", "matching"]
+PLANS = ["runs", "texts", "leaks", "policy", "upkeep", "bodies", "fields", "reports", "assembly", "shell", "gates", "lines", "keeping", "redaction", "matching"]
 
 
 def query(name: str, oracle: str | None = None) -> Callable:
