@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,55 +45,65 @@ def parallel(steps: DataFrame, keys: list[str], order: str, kind: str, audit: st
 
 
 def graph_edges(steps: DataFrame, keys: list[str], order: str, kind: str, audit: str) -> DataFrame:
-    """keys, node, parent, label: the parent of each event, by a fold over the sequence's sorted array.
-
-    State: root, chain, decision and action tips (node numbers, null where cleared), the last action's parent, and the
-    kind and audit of the event before. Every transition is a column expression, so the fold stays in the JVM."""
-    own = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("n"), F.col(kind).alias("k"), F.col(audit).cast("string").alias("a")))).alias("x"))
-    none = F.lit(None).cast("int")
-    edge = "array<struct<node:int,parent:int,label:string>>"
-    start = F.struct(none.alias("root"), none.alias("chain"), none.alias("dec"), none.alias("act"), none.alias("up"), F.lit("").alias("k"), F.lit("").alias("a"), F.array().cast(edge).alias("edges"))
-
-    def step(s: Column, e: Column) -> Column:
-        k, n = e["k"], e["n"]
-        twin = (k == "action") & (s["k"] == "action") & (s["a"] == e["a"])
-        begins = k.isin("goal", "sub_goal")
-        parent = (
-            F.when(k == "sub_goal", s["root"]).when(k == "goal", none).when(k == "decision", F.coalesce(s["act"], s["dec"], s["chain"]))
-            .when(twin, s["up"]).when(k == "action", F.coalesce(s["dec"], s["chain"], s["act"])).when(k.isin("observation", "state_transition"), F.coalesce(s["act"], s["chain"]))
-            .otherwise(F.coalesce(s["chain"], s["act"], s["dec"]))
-        )
-        label = (
-            F.when(k == "sub_goal", "sub-goal").when(k == "decision", "decides").when(twin, "acts").when(k == "action", F.when(s["dec"].isNotNull(), "executes").otherwise("acts"))
-            .when(k == "observation", "observes").when(k == "state_transition", "enters").when(k == "result", "results in").otherwise("reflects")
-        )
-        new = F.struct(
-            F.when(begins, n).otherwise(s["root"]).alias("root"),
-            F.when(k == "action", s["chain"]).otherwise(n).alias("chain"),
-            F.when(k == "decision", n).when(k.isin("action", "state_transition"), s["dec"]).otherwise(none).alias("dec"),
-            F.when(k == "action", n).when(begins | (k == "decision"), none).otherwise(s["act"]).alias("act"),
-            F.when(k == "action", parent).when(begins | (k == "observation"), none).otherwise(s["up"]).alias("up"),
-            k.alias("k"), e["a"].alias("a"),
-            F.when(parent.isNotNull() & (parent != n), F.concat(s["edges"], F.array(F.struct(n.alias("node"), parent.alias("parent"), label.alias("label"))))).otherwise(s["edges"]).alias("edges"),
-        )
-        return new
-
-    folded = own.select(*keys, F.explode(F.aggregate("x", start, step, lambda s: s["edges"])).alias("e"))
-    return folded.select(*keys, "e.node", "e.parent", "e.label")
+    """keys, node, parent, label: the parent of each event of a sequence. `order` counts the events of a key.
+
+    The root, the chain's tip and the tips of decisions and actions are each the last event of some kinds before, so all come
+    from one sorted window in time linear in the sequence. An action right after an action of its audit has that one's parent."""
+    w = Window.partitionBy(*keys).orderBy("_o")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    k, n = F.col("_k"), F.col("_n")
+
+    def among(*kinds: str) -> Column:
+        return F.coalesce(k.isin(*kinds), F.lit(False))
+
+    def tip(those: Column, held: Column | None = None) -> Column:
+        """The last of `those` events before, if it is a `held` one."""
+        own = F.when(those, F.struct(F.when(F.lit(True) if held is None else held, n).alias("n")))
+        return F.last(own, ignorenulls=True).over(before)["n"]
+
+    s = steps.select(*keys, F.col(order).alias("_o"), F.col(order).cast("int").alias("_n"), F.col(kind).alias("_k"), F.col(audit).cast("string").alias("_a"))
+    twin = among("action") & (F.lag("_k").over(w) == "action") & (F.lag("_a").over(w) == F.col("_a"))
+    s = s.select(
+        "*", F.coalesce(twin, F.lit(False)).alias("_twin"), tip(among("goal", "sub_goal")).alias("_root"), tip(~among("action")).alias("_chain"),
+        tip(~among("action", "state_transition"), among("decision")).alias("_dec"), tip(among("action", "goal", "sub_goal", "decision"), among("action")).alias("_act"),
+    )
+    root, chain, dec, act = (F.col(c) for c in ("_root", "_chain", "_dec", "_act"))
+    alone = (
+        F.when(k == "sub_goal", root).when(k == "goal", F.lit(None)).when(k == "decision", F.coalesce(act, dec, chain)).when(k == "action", F.coalesce(dec, chain, act))
+        .when(k.isin("observation", "state_transition"), F.coalesce(act, chain)).otherwise(F.coalesce(chain, act, dec))
+    )
+    parent = F.last(F.when(~F.col("_twin"), F.struct(alone.alias("p"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["p"]
+    label = (
+        F.when(k == "sub_goal", "sub-goal").when(k == "decision", "decides").when(F.col("_twin"), "acts").when(k == "action", F.when(dec.isNotNull(), "executes").otherwise("acts"))
+        .when(k == "observation", "observes").when(k == "state_transition", "enters").when(k == "result", "results in").otherwise("reflects")
+    )
+    return s.select(*keys, n.alias("node"), parent.alias("parent"), label.alias("label")).where("parent is not null and parent <> node")
 
 
 def token_batches(steps: DataFrame, keys: list[str], order: str, cost: str, limit: int) -> DataFrame:
-    """keys, order, batch: a new batch begins where adding the line would exceed `limit`; a first line too large stays alone."""
-    own = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("n"), F.col(cost).cast("long").alias("c")))).alias("x"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<n:bigint,b:int>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        over = (s["used"] > 0) & (s["used"] + e["c"] > limit)
-        b = F.when(over, s["b"] + 1).otherwise(s["b"])
-        return F.struct(b.alias("b"), F.when(over, e["c"]).otherwise(s["used"] + e["c"]).alias("used"), F.concat(s["out"], F.array(F.struct(e["n"].alias("n"), b.alias("b")))).alias("out"))
-
-    out = own.select(*keys, F.explode(F.aggregate("x", start, step, lambda s: s["out"])).alias("o"))
-    return out.select(*keys, F.col("o.n").alias(order), F.col("o.b").alias("batch"))
+    """keys, order, batch: a new batch begins where adding the line would exceed `limit`; a first line too large stays alone, and
+    null costs count as zero.
+
+    Where a batch begins depends on all before it, which no window says; a task reads its sorted rows one after the other and
+    holds one sequence's batch number and sum."""
+    d = steps.select(*keys, F.col(order).cast("long").alias(order), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("batch"))
+    d = d.repartition(*keys).sortWithinPartitions(*keys, order)
+    out = d.withColumn("batch", F.lit(0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, used = None, 0, 0
+        for rows in batches:
+            numbers = []
+            for own, c in zip(zip(*[rows.column(k).to_pylist() for k in keys]), rows.column("batch").to_pylist()):
+                if own != last:
+                    last, number, used = own, 0, 0
+                if used > 0 and used + c > limit:
+                    number, used = number + 1, 0
+                used += c
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(numbers, pa.int32())], names=rows.schema.names)
+
+    return d.mapInArrow(run, out)
 
 
 def armed(calls: DataFrame, session: str, order: list[str], trigger: Column, window: int) -> DataFrame:
