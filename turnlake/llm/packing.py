@@ -34,7 +34,8 @@ class ChunkEncoder(dict):
 
     For tokenizers that turn white space into cuts, which `tokenizers` applies before pieces are merged: a text's ids are
     then its chunks' ids in a row. Letters and the punctuation after them are also cut by this tokenizer's pattern, so a
-    capitalised or punctuated word follows from its parts. At most LIMIT chunks are held, none beyond LONG characters, and
+    capitalised or punctuated word follows from its parts, and a word of small Latin letters, which normalising and cutting leave
+    as it is, goes to the merges at once, each letter as its byte symbols. At most LIMIT chunks are held, none beyond LONG characters, and
     chunks made of parts only in the first half; as with Memo, a full table is dropped after many misses."""
 
     LIMIT, LONG = 600_000, 256
@@ -46,6 +47,14 @@ class ChunkEncoder(dict):
         self.own, self.missed = Tokenizer.from_file(path), 0
         # What Unicode calls white space, in the tokenizer's pattern; str.split() also splits at these four.
         self.odd = re.compile("[\x1c-\x1f]")
+        self.model = self.own.model
+        letters = [c for c in map(chr, range(97, 256)) if _LETTERS.fullmatch(c) and c.islower()]
+        self.symbols = {ord(c): "".join(s for s, _ in self.own.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
+        self.direct = all(self._word(w) == self._ids(w) for w in ("tokenizer", "".join(letters)))
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.translate(self.symbols))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, text: str) -> bytes:
         ids = self.own.encode(text, add_special_tokens=False).ids
@@ -56,7 +65,7 @@ class ChunkEncoder(dict):
         if m and (m[2] or not chunk.islower()):
             ids, most = self[m[1].lower()] + (self[m[2]] if m[2] else b""), self.LIMIT // 2
         else:
-            ids, most = self._ids(chunk), self.LIMIT
+            ids, most = self._word(chunk) if m and self.direct else self._ids(chunk), self.LIMIT
             self.missed += len(self) >= self.LIMIT
             if self.missed > 4 * self.LIMIT:
                 self.missed = 0
