@@ -59,6 +59,17 @@ def sse_text(body: Column) -> Column:
     return F.array_join(F.transform(sse_payloads(body), lambda p: F.coalesce(F.get_json_object(p, "$.choices[0].delta.content"), F.get_json_object(p, "$.delta.text"), F.lit(""))), "")
 
 
+CHUNK = "type string, delta struct<text:string>, choices array<struct<delta:struct<content:string,reasoning_content:string>>>"
+
+
+def has_token(chunk: Column) -> Column:
+    """Whether a stream chunk holds a first token: content or reasoning of any choice, a block's delta, or a delta's text. Tool calls
+    are none; what is no JSON neither."""
+    c = F.from_json(chunk, CHUNK)
+    said = F.exists(F.coalesce(c["choices"], F.array().cast("array<struct<delta:struct<content:string,reasoning_content:string>>>")), lambda x: F.coalesce(x["delta"]["content"] != "", F.lit(False)) | F.coalesce(x["delta"]["reasoning_content"] != "", F.lit(False)))
+    return said | F.coalesce(c["type"] == "content_block_delta", F.lit(False)) | F.coalesce(c["delta"]["text"] != "", F.lit(False))
+
+
 def body_kind(body: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), "json").when(body.rlike("(?m)^\\s*data:"), "sse").otherwise("raw")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import bodies as B
@@ -62,11 +62,27 @@ def pf10(spark, sf_dir):
     return s.select("conv_id", B.body_kind(F.col("b")).alias("kind"), F.size(B.sse_payloads(F.col("b"))).cast("long").alias("events"))
 
 
-@query("pf21_first_token", FIRST_SAID.format("conv_id, cast(1 as bigint) first_chunk"))
+@query("pf21_first_token", FIRST_SAID.format("conv_id, case when conv_id % 6 = 5 then null else conv_id % 5 + 1 end first_chunk"))
 def pf21(spark, sf_dir):
-    """The number of the first chunk with content."""
-    s = streams(spark, sf_dir).select("conv_id", F.posexplode(B.sse_payloads(F.col("body"))).alias("i", "p"))
-    return s.where(F.get_json_object("p", "$.choices[0].delta.content") != "").groupBy("conv_id").agg((F.min("i") + 1).cast("long").alias("first_chunk"))
+    """The number of the first chunk with a token, in streams of every kind: after as many chunks without one as the id says."""
+    def line(*chunks: str) -> Column:
+        return F.lit("".join(f"data: {c}\n\n" for c in chunks))
+
+    idle = ['{"choices":[{"delta":{"role":"assistant","content":""}}]}', '{"choices":[{"delta":{"tool_calls":[{"function":{"arguments":"x"}}]}}]}', '{"type":"message_start","delta":{}}', "no json"]
+    n, kind = (F.col("conv_id") % 5).cast("int"), F.col("conv_id") % 6
+    lead = F.when(n == 0, "")
+    for k in range(1, 5):
+        lead = lead.when(n == k, line(*idle[:k]))
+    quoted = F.to_json(F.struct(F.substring("text", 1, 5).alias("content")))
+    reasoned = F.to_json(F.struct(F.substring("text", 1, 5).alias("reasoning_content")))
+    token = (
+        F.when(kind == 0, F.concat(F.lit('data: {"choices":[{"delta":'), quoted, F.lit("}]}"))).when(kind == 1, F.concat(F.lit('data: {"choices":[{"delta":{}},{"delta":'), reasoned, F.lit("}]}")))
+        .when(kind == 2, F.lit('data: {"type":"content_block_delta"}')).when(kind == 3, F.lit('data: {"delta":{"text":"t"}}')).when(kind == 4, F.concat(F.lit('data:{"choices":[{"delta":'), quoted, F.lit("}]}"))).otherwise("")
+    )
+    t = turns(spark, sf_dir).where("role = 'assistant'").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n = 1 and length(text) > 0")
+    chunks = B.sse_payloads(F.concat(lead, token, F.lit("\n\ndata: [DONE]\n")))
+    found = F.array_position(F.transform(chunks, B.has_token), F.lit(True))
+    return t.select("conv_id", F.when(found > 0, found).alias("first_chunk"))
 
 
 @query("fn34_reasoning_folding", "select event_id, case event_id % 3 when 0 then 'said thought' when 1 then 'said' end content, event_id % 3 <> 2 kept from events")
