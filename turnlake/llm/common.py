@@ -90,9 +90,43 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Rows whose texts a worker holds as Python objects at a time.
+SLICE = 1024
+_tables: dict[str, object] = {}
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts have SLICE rows unless the session says otherwise: at Spark's 10 000, one is as large as its texts
+    are, twice over in the JVM while a vector grows, and once more in the worker."""
+    if int(spark.conf.get(_ROWS)) == 10_000:
+        spark.conf.set(_ROWS, str(SLICE))
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """The worker's table of that name, which its tasks share. A worker holds the tables of one stage: `slices` lets others go."""
+    if name not in _tables:
+        _tables[name] = make()
+    return _tables[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch], table: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in parts of SLICE rows. Tables but that of the name `table`, left by tasks of other stages, and
+    memory that Arrow keeps for later are given back, so a worker's memory doesn't grow from stage to stage."""
+    for name in [n for n in _tables if n != table]:
+        del _tables[name]
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+        del batch
+        pool.release_unused()
+
+
 def append(rows: DataFrame, text: str, added: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """All rows and columns, and then the columns `added` (a schema): make() is called once a task and gives a function from a
     batch's texts to a list of each added column's values. Names that `rows` has already get underscores before them."""
+    small_batches(rows.sparkSession)
     fields = [T.StructField(fresh(f.name, rows.columns), f.dataType) for f in T._parse_datatype_string(added).fields]
     at = rows.columns.index(text)
     schema = T.StructType(rows.schema.fields + fields)
@@ -102,7 +136,7 @@ def append(rows: DataFrame, text: str, added: str, make: Callable[[], Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
+        for batch in slices(batches):
             new = fn(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(new, kinds))], names=schema.names)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from turnlake.llm.common import materialise, skew_lookup
+from turnlake.llm.common import materialise, skew_lookup, slices, small_batches
 from turnlake.llm.simhash import BkTree, components
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -111,7 +111,7 @@ def _groups(solve: Callable[[tuple, list], pa.RecordBatch], keys: int) -> Callab
     """Calls solve(key, rows) for each run of rows with equal first `keys` columns; rows come sorted by them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:keys] != now and rows:
                     yield solve(now, rows)
@@ -147,6 +147,7 @@ def text_key() -> Column:
 def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables. marks: fp, first (the tag of the row to keep), n, size, label (null: alone), blocks; one row a text that has
     copies or candidates. rows: fp, label, blocks, many, first, row: one row a text, but for rows that are equal in all columns."""
+    small_batches(docs.sparkSession)
     every = [F.col(c) for c in docs.columns] + [F.col(c).isNull() for c in docs.columns]
     tag = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*every).alias("a"), F.xxhash64(F.lit(77), *every).alias("b"))
     text = F.coalesce("text", F.lit(""))
@@ -155,7 +156,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = pa.array([buckets(shingles(t)) for t in batch.column(3).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(kinds.field(1).type), batch.column(2), got], schema=kinds)
 

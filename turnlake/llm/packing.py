@@ -19,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import materialise, table
+from turnlake.llm.common import materialise, slices, small_batches, table, worker_table
 
 CAPACITY = 2048
 #: Rows of one length ranked by one task: a thousandth of all, at most a million.
 SHARE, MOST = 1000, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|-]*)")
-_encoders: dict = {}
 
 
 class ChunkEncoder(dict):
@@ -38,7 +37,7 @@ class ChunkEncoder(dict):
     as it is, goes to the merges at once, each letter as its byte symbols. At most LIMIT chunks are held, none beyond LONG characters, and
     chunks made of parts only in the first half; as with Memo, a full table is dropped after many misses."""
 
-    LIMIT, LONG = 600_000, 256
+    LIMIT, LONG = 400_000, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,10 +85,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     Null and empty texts are one piece with the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = ChunkEncoder(tokenizer_path)
-        encode, end, step = _encoders[tokenizer_path].encode, struct.pack("<I", end_id), 4 * capacity
-        for batch in batches:
+        encode = worker_table(tokenizer_path, lambda: ChunkEncoder(tokenizer_path)).encode
+        end, step = struct.pack("<I", end_id), 4 * capacity
+        for batch in slices(batches, tokenizer_path):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "") + end
@@ -97,6 +95,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
