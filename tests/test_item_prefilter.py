@@ -1,5 +1,7 @@
 """The prefilter over all items against brute force over all pairs."""
 
+from test_triggers import shuffled
+
 from turnlake.operators import leakscan
 
 CJK = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x3040, 0x30FF), (0xAC00, 0xD7AF)]
@@ -50,3 +52,28 @@ def test_odd_texts(spark):
 def test_given_tables(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, docs, [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+
+
+def test_other_scripts(spark):
+    """The search for other scripts' letters finds the characters of the plain class, alone and behind others."""
+    chars = [(chr(c),) for c in [*range(0x3200), *range(0x9F00, 0xA100), *range(0xD700, 0xD800), *range(0x1D400, 0x1D500), *range(0x1F600, 0x1F650)]]
+    texts = spark.createDataFrame([*chars, *[(f"a—é文 {c} z",) for (c,) in chars[:0x400]]], "text string")
+    plain = f"[\\p{{IsAlphabetic}}&&[^A-Za-zÀ-ɏ{leakscan._CJK}]]"
+    got = leakscan._profile(texts).select("text", "other", texts.text.rlike(plain).alias("want"))
+    assert got.where("other <> want").count() == 0 and got.where("other").count() > 1000
+
+
+def test_rows_shuffled(spark):
+    """Words aren't shuffled: a few rows a document are, however many words it has."""
+    n, m = 200, 300
+    docs = spark.createDataFrame([(k, " ".join(f"word{k * m + w}" for w in range(m))) for k in range(n)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word1 word2"), (2, "it is")], "item_id long, text string")
+    df = leakscan.item_prefilter(docs, "doc_id", items)
+    assert sorted(r.doc_id for r in df.collect() if not r.skipped) == [0]
+    assert shuffled(df._jdf.queryExecution().executedPlan()) < n * m / 10
+
+
+def test_many_words(spark, monkeypatch):
+    """A corpus of more words than are broadcast gives the same."""
+    monkeypatch.setattr(leakscan, "WORDS", 0)
+    test_odd_texts(spark)

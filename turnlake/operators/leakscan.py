@@ -78,11 +78,18 @@ def most_specific(rules: DataFrame, path: str) -> DataFrame:
 _CJK = "一-鿿㐀-䶿぀-ヿ가-힯"
 
 
+#: So many distinct words of a corpus are broadcast; more are joined by shuffle.
+WORDS = 200_000
+#: Runs of what is no letter of another script: characters by range come first, and only others are asked for their kind.
+_OWN = f"(?s)\\A[\\x00-©«-´¶-¹»-ɏ{_CJK}\\P{{IsAlphabetic}}]*+."
+
+
 def _profile(rows: DataFrame) -> DataFrame:
     """key (the text's digest), tokens (CJK characters, words of Latin letters and digits), other (whether another script occurs)."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.array_distinct(F.regexp_extract_all(T.ascii_lower(t), F.lit(f"([{_CJK}]|[0-9a-zÀ-ɏ]+)"), 0))
-    return rows.withColumn("key", F.md5(t.cast("binary"))).withColumn("tokens", tokens).withColumn("other", t.rlike(f"[\\p{{IsAlphabetic}}&&[^A-Za-zÀ-ɏ{_CJK}]]"))
+    ascii = F.octet_length(t) == F.length(t)
+    tokens = F.array_distinct(F.regexp_extract_all(F.when(ascii, F.lower(t)).otherwise(T.ascii_lower(t)), F.lit(f"([{_CJK}]|[0-9a-zÀ-ɏ]+)"), 0))
+    return rows.withColumn("key", F.md5(t.cast("binary"))).withColumn("tokens", tokens).withColumn("other", ~ascii & t.rlike(_OWN))
 
 
 def item_prefilter(docs: DataFrame, doc_id: str, items: DataFrame) -> DataFrame:
@@ -91,20 +98,26 @@ def item_prefilter(docs: DataFrame, doc_id: str, items: DataFrame) -> DataFrame:
     An item may be skipped if both sides have tokens and no other script, and they share no token, or none of 4 characters
     and less than half of either side. A token of 4 characters is looked up in the words of all items; documents without
     one count their shared short tokens by item."""
-    d = _profile(docs.select(F.col(doc_id).alias("doc_id"), "text")).drop("text")
     i = _profile(items.select("text")).select("key", "tokens", "other").dropDuplicates(["key"])
     always = F.col("other") | (F.size("tokens") == 0)
     every = i.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.bool_or(always), F.lit(False)).alias("open"))
-    # Decisions depend on texts alone, so copies are decided once.
-    words = d.where(~always).select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).distinct()
     held = i.where(~always).select(F.col("key").alias("item"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    long = words.where(F.length("token") >= 4).join(held.where(F.length("token") >= 4).select("token").distinct(), "token").select("key").distinct()
-    short = words.where(F.length("token") < 4).join(long, "key", "left_anti").join(held.where(F.length("token") < 4), "token")
-    both = short.groupBy("key", "item", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    half = both.where(F.col("both") * 2 >= F.least("n", "m")).select("key")
-    scan = long.union(half).distinct().withColumn("_scan", F.lit(True))
-    got = d.select("doc_id", "key", always.alias("always")).join(scan, "key", "left").join(F.broadcast(every))
-    return got.select("doc_id", (~((F.col("items") > 0) & (F.col("open") | F.col("always") | F.col("_scan").isNotNull()))).alias("skipped"))
+    known = held.where(F.length("token") >= 4).select("token", F.lit(True).alias("hit")).distinct()
+    known = F.broadcast(known) if known.count() <= WORDS else known
+    # Texts are read for tokens once. Each gives a row for a long token and one with all the short ones, whose own token (with a
+    # space) meets nothing; of the rows that met a word, one a text is left before anything is shuffled.
+    w = _profile(docs.select("text")).select("key", "tokens", always.alias("always"))
+    long = F.transform(F.filter("tokens", lambda x: ~F.col("always") & (F.length(x) >= 4)), lambda x: F.struct(x.alias("token"), F.lit(None).cast("array<string>").alias("short")))
+    rest = F.struct(F.concat(F.lit(" "), F.col("key")).alias("token"), F.filter("tokens", lambda x: F.length(x) < 4).alias("short"))
+    w = w.select("key", "always", F.size("tokens").alias("n"), F.explode_outer(F.concat(long, F.array(rest))).alias("w"))  # outer: else tokens are found once more to drop empty arrays
+    w = w.select("key", "always", "n", "w.*").join(known, "token", "left").where("hit or short is not null").groupBy("key", "always", "n", "short").agg(F.bool_or("hit").alias("hit"))
+    # Decisions depend on texts alone, so copies are decided once. A decided text goes on with a token that meets nothing.
+    w = w.groupBy("key").agg(F.max("n").alias("n"), (F.bool_or("always") | F.coalesce(F.bool_or("hit"), F.lit(False))).alias("scan"), F.max("short").alias("short"))
+    w = w.select("key", "n", "scan", F.explode_outer(F.when(F.col("scan") | (F.size("short") == 0), F.array(F.concat(F.lit(" "), F.col("key")))).otherwise(F.col("short"))).alias("token"))
+    both = w.join(held.where(F.length("token") < 4), "token", "left").groupBy("key", "scan", "n", "item", "m").agg(F.count(F.lit(1)).alias("both"))
+    scan = both.groupBy("key").agg(F.bool_or(F.col("scan") | (F.col("item").isNotNull() & (F.col("both") * 2 >= F.least("n", "m")))).alias("scan"))
+    got = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("key")).join(scan, "key").join(F.broadcast(every))
+    return got.select("doc_id", (~((F.col("items") > 0) & (F.col("open") | F.col("scan")))).alias("skipped"))
 
 
 def chunks(docs: DataFrame, doc_id: str, size: int = 8192, overlap: int = 64) -> DataFrame:
